@@ -68,39 +68,40 @@ def _same_group(keys: list[str], left: str, right: str) -> Column:
     return same
 
 
-def distributed_row_number(
-    df: DataFrame, keys: list[str], order: list[Column], name: str
+def distributed_running_sum(
+    df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str
 ) -> DataFrame:
-    """`row_number` per group where one group may be far too big for one task.
+    """Running sum per group, current row included, where one group may be far too big for one task.
 
-    Positions are counted inside each (slice, group); a group that spans slices adds the rows its
-    earlier slices hold. Only groups that cross a slice edge need that, so the offset table has
-    at most two rows per slice and is safe to broadcast.
+    Sums run inside each (slice, group); a group that spans slices adds what its earlier slices
+    hold. Only groups that cross a slice edge need that, so the offset table has at most two rows
+    per slice and is safe to broadcast.
     """
-    sliced = _slices(df, keys, order)
-    held = sliced.groupBy("_slice", *keys).agg(F.count(F.lit(1)).alias("_held"))
-    by_group = Window.partitionBy(*keys)
+    sliced = _slices(df.withColumn("_value", value.cast("long")), keys, order)
+    held = sliced.groupBy("_slice", *keys).agg(F.sum("_value").alias("_held"))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        held.withColumn(
-            "_before",
-            F.sum("_held").over(by_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)),
-        )
+        held.withColumn("_before", F.sum("_held").over(earlier))
         .where(F.col("_before").isNotNull())
         .drop("_held")
     )
-    local = sliced.withColumn(
-        name, F.row_number().over(Window.partitionBy("_slice", *keys).orderBy(*order))
-    )
+    so_far = Window.partitionBy("_slice", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = sliced.withColumn(name, F.sum("_value").over(so_far))
     joined = local.alias("l").join(F.broadcast(offsets).alias("o"), _same_group(keys, "l", "o"), "left")
-    position = (F.col(f"l.{name}") + F.coalesce(F.col("o._before"), F.lit(0))).cast("long")
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], position.alias(name))
+    total = F.col(f"l.{name}") + F.coalesce(F.col("o._before"), F.lit(0))
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], total.alias(name))
+
+
+def distributed_row_number(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """`row_number` per group under the same hot-group assumption."""
+    return distributed_running_sum(df, keys, order, F.lit(1), name)
 
 
 def distributed_lead(
     df: DataFrame, keys: list[str], order: list[Column], value: str, name: str
 ) -> DataFrame:
-    """`lead(value)` per group under the same hot-group assumption: the last row of a slice takes
-    the first value of the group's next slice from a table of at most one row per slice edge."""
+    """`lead(value)` per group likewise: the last row of a slice takes the first value of the
+    group's next slice from a table of at most one row per slice edge."""
     sliced = _slices(df, keys, order)
     in_slice = Window.partitionBy("_slice", *keys).orderBy(*order)
     local = sliced.withColumn("_last", F.lead(F.lit(True)).over(in_slice).isNull()).withColumn(

@@ -1 +1,4 @@
 """Registered queries: each operator on the driver's tables, with independent SQL where SQL can say it."""
+
+from checks import keyword_checks, text_checks  # noqa: F401
+from checks.registry import ORACLES, QUERIES  # noqa: F401

@@ -91,7 +91,6 @@ def _finish(parts: DataFrame) -> DataFrame:
     failed = stage == "failed"
     return parts.select(
         JOB,
-        "run_no",
         "started",
         F.col("last.ts").alias("ended"),
         "events",
@@ -107,36 +106,27 @@ def progress_sessions(events: DataFrame) -> DataFrame:
 
 
 def stream_sessions(events: DataFrame, out: str, state: str, checkpoint: str) -> StreamingQuery:
-    """Append closed runs to `out` as they close; open runs wait in `state`. Each micro-batch reads
-    state n-1 and overwrites its own folders n, so a repeated batch changes nothing. Events of a
-    job are expected in order across batches."""
+    """Append runs to `out` as they close; open ones, at most one per job, wait in `state`.
+
+    Each micro-batch reads state n-1 and overwrites its own folders n, so a repeated batch changes
+    nothing. A job's events are expected in order across batches.
+    """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         parts = _run_parts(batch)
         if batch_id > 0:
             carried = batch.sparkSession.read.parquet(f"{state}/{batch_id - 1}")
-            both = carried.withColumn("run_no", F.lit(0).cast("long")).unionByName(
-                parts.withColumn("base", F.lit(0).cast("long")), allowMissingColumns=True
-            )
-            parts = both.groupBy(JOB, "run_no").agg(
+            parts = parts.unionByName(carried).groupBy(JOB, "run_no").agg(
                 F.min("started").alias("started"),
                 F.max_by("last", F.struct("last.ts", "last.seq")).alias("last"),
                 F.sum("events").cast("long").alias("events"),
-            ).join(carried.select(JOB, "base"), JOB, "left")
-        else:
-            parts = parts.withColumn("base", F.lit(0).cast("long"))
-        numbered = parts.withColumn("run_no", F.col("run_no") + F.coalesce("base", F.lit(0))).drop("base")
-        numbered.persist()
+            )
+        parts = parts.persist()
         closed = F.col("last.stage").isin(*TERMINAL)
-        _finish(numbered.where(closed)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        highest = numbered.groupBy(JOB).agg(
-            F.max("run_no").alias("_run"), F.max_by(F.struct("started", "last", "events"), "run_no").alias("_r")
-        )
-        still_open = ~F.col("_r.last.stage").isin(*TERMINAL)
-        highest.where(still_open).select(JOB, F.col("_run").alias("base"), "_r.*").write.mode(
-            "overwrite"
-        ).parquet(f"{state}/{batch_id}")
-        numbered.unpersist()
+        _finish(parts.where(closed)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        waiting = parts.where(~closed).withColumn("run_no", F.lit(0).cast("long"))
+        waiting.write.mode("overwrite").parquet(f"{state}/{batch_id}")
+        parts.unpersist()
 
     return (
         events.writeStream.foreachBatch(on_batch)

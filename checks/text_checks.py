@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import inputs, sql
 from checks.registry import check
+from shortlist.cluster import distributed_row_number
 from shortlist.functions import entities, redaction
 from shortlist.functions.text import js_trim
 from shortlist.operators import parsing
@@ -225,7 +226,7 @@ def p5_split_sentences(spark, sf):
         rows = inputs.table(spark, sf, table)
         return rows.select(
             F.lit(origin).alias("origin"), F.col(key).alias("id"), part.cast("long").alias("part"),
-            F.struct(F.lit(origin), F.col(key), part).alias("cv_id"), F.col(text).alias("raw_text"),
+            F.col(text).alias("raw_text"),
         )
 
     every = (
@@ -390,17 +391,13 @@ def p11_enrich(spark, sf):
 @check(
     "s1_read_cvs",
     sql.with_(sql.CVS) + """SELECT cv_id, job_position_id, final_score,
-    row_number() OVER (ORDER BY final_score DESC NULLS FIRST, cv_id) AS place FROM cvs WHERE job_position_id IN (7, 70, 701, 1402)""",
+    row_number() OVER (PARTITION BY job_position_id ORDER BY final_score DESC NULLS FIRST, cv_id) AS place FROM cvs""",
 )
 def s1_read_cvs(spark, sf):
-    """The scan of a few jobs is the feature here; the order shows as a place number."""
-    chosen = tables.select_cvs(inputs.cvs(spark, sf), [7, 70, 701, 1402])
-    from pyspark.sql import Window
-
-    place = F.row_number().over(
-        Window.orderBy(F.col("final_score").desc_nulls_first(), F.col("cv_id").asc())
-    )
-    return chosen.select("cv_id", "job_position_id", "final_score", place.cast("long").alias("place"))
+    """The order of the scan shows as a place number within each job."""
+    scan = tables.select_cvs(inputs.cvs(spark, sf)).select("cv_id", "job_position_id", "final_score")
+    order = [F.col("final_score").desc_nulls_first(), F.col("cv_id").asc()]
+    return distributed_row_number(scan, ["job_position_id"], order, "place")
 
 
 UPLOADS = """uploads AS (SELECT l_orderkey AS batch_id, concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS filename,
@@ -476,9 +473,29 @@ def text_items(spark, sf):
     )
 
 
-@check("s6_assemble_pages")
+ITEMS = """items AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 AS page,
+ row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_linenumber, l_partkey, l_suppkey) AS idx,
+ CASE WHEN l_partkey % 9 = 0 THEN '' WHEN l_partkey % 4 = 0 THEN l_returnflag || ' ' ELSE l_returnflag || l_partkey END AS str,
+ l_quantity AS y, CASE WHEN l_partkey % 5 <> 0 THEN (l_partkey % 13)::DOUBLE END AS height,
+ l_partkey % 6 = 0 AS has_eol FROM lineitem)"""
+
+
+@check(
+    "s6_assemble_pages",
+    f"""WITH RECURSIVE {ITEMS},
+    fold AS (SELECT doc_id, page, idx, str AS body, CASE WHEN height > 0 THEN height ELSE 12 END AS h, y, has_eol
+      FROM items WHERE idx = 1
+     UNION ALL SELECT doc_id, page, idx, body || CASE WHEN abs(old_y - y) > h * 1.8::DOUBLE THEN chr(10) || chr(10)
+       WHEN old_eol OR abs(old_y - y) > h * 0.4::DOUBLE THEN chr(10)
+       WHEN body <> '' AND right(body, 1) NOT IN (' ', chr(10)) AND str <> '' AND left(str, 1) <> ' ' THEN ' '
+       ELSE '' END || str, h, y, has_eol
+      FROM (SELECT i.doc_id, i.page, i.idx, f.body, i.str, f.y AS old_y, i.y, f.has_eol AS old_eol, i.has_eol,
+        CASE WHEN i.height > 0 THEN i.height ELSE f.h END AS h
+       FROM fold f JOIN items i ON i.doc_id = f.doc_id AND i.page = f.page AND i.idx = f.idx + 1))
+    SELECT doc_id, page, regexp_replace(regexp_replace(arg_max(body, idx), '[ \\t]+\\n', chr(10), 'g'),
+     '\\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM fold GROUP BY doc_id, page""",
+)
 def s6_assemble_pages(spark, sf):
-    """A fold whose space rule looks at the text built so far; checked against a plain loop in tests."""
     return layout.assemble_pages(text_items(spark, sf))
 
 

@@ -257,7 +257,7 @@ def f1_best_scores(spark, sf):
 def f2_final_score(spark, sf):
     screened = screened_documents(spark, sf)
     joined = screened.join(answered(screened).select("cv_id", "ai_scores"), "cv_id", "left")
-    best = joined.withColumn("scored", final._best(F.col("scored"), F.col("ai_scores.scores")))
+    best = joined.withColumn("scored", final.best_of(F.col("scored"), F.col("ai_scores.scores")))
     return final.final_score(best).select(
         "cv_id", "final_score", F.col("missing_required").cast("long").alias("missing_required"), "tier"
     )

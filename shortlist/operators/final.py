@@ -22,7 +22,8 @@ def _first_entry(entries: Column, requirement_id: Column) -> Column:
     )
 
 
-def _best(scored: Column, entries: Column) -> Column:
+def best_of(scored: Column, entries: Column) -> Column:
+    """`scored` with each score replaced by the model's where it gave one."""
     return F.transform(
         scored,
         lambda r: r.withField(
@@ -100,7 +101,7 @@ def apply_ai_results(cvs: DataFrame, results: DataFrame) -> DataFrame:
     )
     joined = cvs.join(given, "cv_id", "left")
     settled = _settle(
-        joined.withColumn("_scored", _best(F.col("scored"), F.col("_new_scores.scores"))).withColumnRenamed(
+        joined.withColumn("_scored", best_of(F.col("scored"), F.col("_new_scores.scores"))).withColumnRenamed(
             "final_score", "_old_score"
         )
     )

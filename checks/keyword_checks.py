@@ -8,17 +8,14 @@ from checks import inputs, sql
 from checks.registry import check
 from shortlist.functions import fixed
 from shortlist.functions.text import boundary_match, normalize
-from shortlist.operators import keyword, scoring
-from shortlist.operators.parsing import sentences as with_sentences
+from shortlist.operators import keyword, parsing, scoring
 
 KW = sql.with_(sql.CORPUS_REQS, sql.DOCS, sql.matches("docs", "corpus_reqs"))
 JUDGED = sql.with_(sql.CORPUS_REQS, sql.DOCS, sql.matches("docs", "corpus_reqs"), sql.JUDGED)
 
 
 def long_sentences(spark, sf):
-    return inputs.document_sentences(spark, sf).select(
-        "cv_id", "job_position_id", F.posexplode("sentences").alias("pos", "sentence")
-    )
+    return parsing.explode_sentences(inputs.document_cvs(spark, sf), "job_position_id")
 
 
 def scored_documents(spark, sf):
@@ -226,5 +223,5 @@ def k12_keyword_filter(spark, sf):
 )
 def k12_keyword_filter_resumes(spark, sf):
     return result(
-        keyword.keyword_filter(with_sentences(inputs.template_cvs(spark, sf)), inputs.demo_requirements(spark))
+        keyword.keyword_filter(parsing.sentences(inputs.template_cvs(spark, sf)), inputs.demo_requirements(spark))
     )

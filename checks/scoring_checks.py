@@ -8,6 +8,7 @@ from checks import inputs, sql
 from checks.keyword_checks import scored_documents
 from checks.registry import check
 from checks.text_checks import TECH_SQL, YEARS_SQL, _redacted_sql
+from shortlist.cluster import cut_lineage
 from shortlist.functions import redaction
 from shortlist.functions.text import json_string
 from shortlist.operators import final, inference, keyword, views
@@ -18,6 +19,11 @@ def screened_documents(spark, sf):
     return keyword.judge(scored_documents(spark, sf))
 
 
+def stored_screening(spark, sf):
+    """Screened CVs as a flow keeps them: both the prompts and the merge of answers read them."""
+    return cut_lineage(screened_documents(spark, sf).drop("sentences"))
+
+
 def ai_answers(gated):
     """Answers derived from the CV key: broken JSON, failed calls, partial, repeated and missing
     scores each occur on a share of the CVs."""
@@ -246,7 +252,7 @@ def a8_extract_requirements(spark, sf):
 
 @check("f1_best_scores", BASE + "SELECT cv_id, requirement_id, score, source FROM best")
 def f1_best_scores(spark, sf):
-    screened = screened_documents(spark, sf)
+    screened = stored_screening(spark, sf)
     return final.best_scores(screened, answered(screened)).select("cv_id", "requirement_id", "score", "source")
 
 
@@ -255,7 +261,7 @@ def f1_best_scores(spark, sf):
     BASE + "SELECT cv_id, final_score, missing_required, final_tier AS tier FROM verdicts",
 )
 def f2_final_score(spark, sf):
-    screened = screened_documents(spark, sf)
+    screened = stored_screening(spark, sf)
     joined = screened.join(answered(screened).select("cv_id", "ai_scores"), "cv_id", "left")
     best = joined.withColumn("scored", final.best_of(F.col("scored"), F.col("ai_scores.scores")))
     return final.final_score(best).select(
@@ -284,7 +290,7 @@ def with_model_columns(screened):
     FROM screened s JOIN verdicts v USING (cv_id) LEFT JOIN costed c ON c.cv_id = s.cv_id""",
 )
 def f3_apply_ai_results(spark, sf):
-    screened = screened_documents(spark, sf)
+    screened = stored_screening(spark, sf)
     merged = final.apply_ai_results(with_model_columns(screened), answered(screened))
     return merged.select(
         "cv_id",
@@ -299,14 +305,14 @@ def f3_apply_ai_results(spark, sf):
 
 @check(
     "f4_run_totals",
-    BASE + """SELECT job_position_id, round(coalesce(sum(cost_usd), 0), 6) AS ai_cost_delta, count(cost_usd) AS candidates,
+    BASE + """SELECT job_position_id, round(coalesce(sum(cost_usd), 0), 8) AS ai_cost_delta, count(cost_usd) AS candidates,
      count(error) AS failures, count(*) FILTER (WHERE s.tier NOT IN ('good', 'great')) AS skipped
     FROM screened s LEFT JOIN (SELECT cv_id, cost_usd, error FROM costed) USING (cv_id) GROUP BY 1""",
 )
 def f4_run_totals(spark, sf):
-    screened = screened_documents(spark, sf)
+    screened = stored_screening(spark, sf)
     totals = final.run_totals(answered(screened), inference.gate_counts(screened))
-    return totals.select("job_position_id", F.round("ai_cost_delta", 6).alias("ai_cost_delta"), "candidates", "failures", "skipped")
+    return totals.select("job_position_id", F.round("ai_cost_delta", 8).alias("ai_cost_delta"), "candidates", "failures", "skipped")
 
 
 @check(
@@ -318,7 +324,7 @@ def f4_run_totals(spark, sf):
      score * 10 AS out_of_ten, len(matched_sentences) AS matches FROM best""",
 )
 def v8_explain(spark, sf):
-    screened = screened_documents(spark, sf)
+    screened = stored_screening(spark, sf)
     stored = final.apply_ai_results(with_model_columns(screened), answered(screened))
     rows = views.explain(stored)
     return rows.select(

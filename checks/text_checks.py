@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import inputs, sql
 from checks.registry import check
-from shortlist.cluster import distributed_row_number
+from shortlist.cluster import distributed_row_number, spread
 from shortlist.functions import entities, redaction
 from shortlist.functions.text import js_trim
 from shortlist.operators import parsing
@@ -223,21 +223,19 @@ def p4_detect_sections(spark, sf):
 )
 def p5_split_sentences(spark, sf):
     def texts(table, origin, key, part, text):
-        rows = inputs.table(spark, sf, table)
-        return rows.select(
-            F.lit(origin).alias("origin"), F.col(key).alias("id"), part.cast("long").alias("part"),
+        rows = inputs.table(spark, sf, table).select(
+            F.lit(origin).alias("origin"), F.col(key).alias("cv_id"), part.cast("long").alias("part"),
             F.col(text).alias("raw_text"),
         )
+        return spread(rows, "cv_id")
 
     every = (
         texts("documents", "document", "doc_id", F.lit(0), "text")
         .unionByName(texts("conversations", "conversation", "conv_id", F.col("turn"), "text"))
         .unionByName(texts("pages", "page", "page_id", F.lit(0), "html"))
     )
-    split = parsing.sentences(every)
-    return split.select("origin", "id", "part", F.posexplode("sentences").alias("pos", "sentence")).withColumn(
-        "pos", F.col("pos").cast("long")
-    )
+    split = parsing.explode_sentences(every, "origin", "part")
+    return split.select("origin", F.col("cv_id").alias("id"), "part", F.col("pos").cast("long").alias("pos"), "sentence")
 
 
 @check(

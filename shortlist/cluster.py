@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SALTS = 16
+BROADCAST_ROWS = 50_000
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -20,22 +21,33 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(2 * cores, *keys)
 
 
+def _at_most(df: DataFrame, rows: int) -> bool:
+    """Whether the table has at most `rows` rows, reading no more than that many and one."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def salted_lookup(
-    rows: DataFrame, lookup: DataFrame, on: list[str], spread_by: list[str], how: str = "inner"
+    rows: DataFrame,
+    lookup: DataFrame,
+    on: list[str],
+    spread_by: list[str],
+    how: str = "inner",
+    bounded_by: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi-join many rows per key to a small per-key table.
+    """Equi-join many rows per key to a per-key table, whatever share of the rows one key holds.
 
-    No broadcast is forced: Catalyst broadcasts `lookup` only when its size is under the
-    session's threshold. Otherwise rows shuffle on (key, salt), so one key that holds a third of
-    all rows is spread over `SALTS` tasks instead of one.
+    The lookup side is broadcast only when counted to be small; then the rows do not move. Beyond
+    that, rows shuffle on (key, salt) against a copy of the lookup per salt, so a hot key is
+    spread over `SALTS` tasks. `bounded_by` names a table that is cheaper to count and has at
+    least as many rows as `lookup`.
     """
+    if _at_most(lookup if bounded_by is None else bounded_by, BROADCAST_ROWS):
+        return rows.join(F.broadcast(lookup), on, how)
     salted_rows = rows.withColumn(
         "_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
     )
-    salted_lookup_rows = lookup.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    return salted_rows.join(salted_lookup_rows, [*on, "_salt"], how).drop("_salt")
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted_rows.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -19,23 +19,21 @@ def years_of_experience(text: Column) -> Column:
     return F.coalesce(*candidates, F.lit(0))
 
 
-def _term_pattern(term: str) -> str:
-    """Literal term with an ASCII word boundary at both ends. After a symbol the boundary needs a
-    word character to follow, so "C++ developer" does not tag while "C++11" does."""
-    literal = "".join(rf"\{ch}" if ch in ".+#" else ch for ch in term)
-    return java_pattern(f"~b{literal}~b")
+def _any_term() -> str:
+    """One pattern for the whole dictionary, each term literal with an ASCII word boundary at both
+    ends. After a symbol the boundary needs a word character to follow, so "C++ developer" does
+    not tag while "C++11" does."""
+    literals = ["".join(rf"\{ch}" if ch in ".+#" else ch for ch in term) for term in fixed.TECHNOLOGIES]
+    return java_pattern(f"~<({'|'.join(literals)})~b")
 
 
 def technologies(text: Column) -> Column:
-    lowered = F.lower(text)
-    hits = [
-        F.when(
-            F.contains(lowered, F.lit(term)) & F.rlike(lowered, F.lit(_term_pattern(term))),
-            F.lit(term),
-        )
-        for term in fixed.TECHNOLOGIES
-    ]
-    return F.array_compact(F.array(*hits))
+    """Dictionary terms present, in dictionary order. One pass finds them all: no term can overlap
+    another in a text, since every term starts and ends on a boundary and none holds another as
+    a whole token."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_any_term()), F.lit(1)))
+    terms = F.array(*[F.lit(term) for term in fixed.TECHNOLOGIES])
+    return F.array_intersect(terms, found)
 
 
 def degrees(text: Column) -> Column:

@@ -191,7 +191,7 @@ def generation_prompts(wanted: DataFrame, jobs: DataFrame, reqs: DataFrame) -> D
         ).alias("_list")
     )
     header = jobs.select("job_position_id", "title").join(lists, "job_position_id")
-    joined = salted_lookup(wanted, header, ["job_position_id"], ["idx"])
+    joined = salted_lookup(wanted, header, ["job_position_id"], ["idx"], bounded_by=reqs)
     prompt = F.concat(
         F.lit("JOB TITLE: "), F.col("title"), F.lit("\nTARGET TIER: "), F.col("quality_tier"),
         F.lit("\n\nREQUIREMENTS:\n[\n"), F.col("_list"), F.lit("\n]"),

@@ -72,7 +72,9 @@ def match_sentences(sentences: DataFrame, reqs: DataFrame) -> DataFrame:
     """
     lookup = _with_patterns(reqs).select("job_position_id", "req_pos", "requirement_id", "needles")
     prepared = sentences.withColumn("_norm", normalize(F.col("sentence")))
-    joined = salted_lookup(prepared, lookup, ["job_position_id"], ["cv_id", "pos"])
+    joined = salted_lookup(
+        prepared, lookup, ["job_position_id"], ["cv_id", "pos"], bounded_by=reqs
+    )
     return joined.where(_any_needle(F.col("_norm"), F.col("needles"))).select(
         "cv_id", "job_position_id", "req_pos", "requirement_id", "pos", "sentence"
     )
@@ -99,7 +101,9 @@ def score_requirements(cvs: DataFrame, reqs: DataFrame) -> DataFrame:
     ).withColumn(
         "_all", F.array_join(F.transform("_pairs", lambda p: p["norm"]), "\n")
     )
-    joined = salted_lookup(prepared, job_requirements(reqs), ["job_position_id"], ["cv_id"])
+    joined = salted_lookup(
+        prepared, job_requirements(reqs), ["job_position_id"], ["cv_id"], bounded_by=reqs
+    )
 
     def live(r: Column) -> Column:
         return r.withField(

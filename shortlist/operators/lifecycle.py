@@ -192,14 +192,14 @@ def delete_cascade(
     kept_jobs = jobs.join(user_keys, "user_id", "left_anti")
     if job_keys is not None:
         kept_jobs = kept_jobs.join(job_keys, JOB, "left_anti")
-    kept_cvs = salted_lookup(cvs, kept_jobs.select(JOB), [JOB], ["cv_id"], "left_semi")
+    kept_cvs = salted_lookup(cvs, kept_jobs.select(JOB), [JOB], ["cv_id"], "left_semi", jobs)
     return kept_users, kept_jobs, kept_cvs
 
 
 def check_access(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     """Class each (user, job) request: ok, not found, forbidden."""
     owners = jobs.select(JOB, F.col("user_id").alias("_owner"))
-    joined = salted_lookup(requests, owners, [JOB], ["user_id"], "left")
+    joined = salted_lookup(requests, owners, [JOB], ["user_id"], "left", jobs)
     verdict = (
         F.when(F.col("_owner").isNull(), "not found")
         .when(F.col("_owner") == F.col("user_id"), "ok")

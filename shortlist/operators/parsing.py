@@ -90,9 +90,15 @@ def sentences(df: DataFrame) -> DataFrame:
     return df.withColumn("sentences", split_sentences(F.col("raw_text")))
 
 
-def explode_sentences(df: DataFrame) -> DataFrame:
-    """(cv_id, pos, sentence); positions count the kept sentences from 0."""
-    return df.select("cv_id", F.posexplode(split_sentences(F.col("raw_text"))).alias("pos", "sentence"))
+def explode_sentences(df: DataFrame, *carry: str) -> DataFrame:
+    """(cv_id, carried columns, pos, sentence); positions count the kept sentences from 0.
+
+    The split stands inside the explode on purpose: exploding a column of an earlier step makes
+    the optimizer add a size filter below it, which would split every text twice.
+    """
+    return df.select(
+        "cv_id", *carry, F.posexplode(split_sentences(F.col("raw_text"))).alias("pos", "sentence")
+    )
 
 
 def enrich(df: DataFrame) -> DataFrame:

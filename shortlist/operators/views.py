@@ -51,7 +51,7 @@ def results(jobs: DataFrame, cvs: DataFrame) -> DataFrame:
     any size per job, so jobs join as the per-key side of a salted lookup."""
     ranked = rank_in_tier(cvs)
     header = jobs.select(JOB, "title", "status")
-    with_cvs = salted_lookup(ranked, header, [JOB], ["cv_id"])
+    with_cvs = salted_lookup(ranked, header, [JOB], ["cv_id"], bounded_by=jobs)
     empty = header.join(cvs.select(JOB).distinct(), JOB, "left_anti")
     return with_cvs.unionByName(empty, allowMissingColumns=True)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from shortlist import schemas
-from shortlist.cluster import cut_lineage
+from shortlist.cluster import cut_lineage, salted_lookup
 from shortlist.functions import fixed
 from shortlist.functions.redaction import redact
 from shortlist.operators import corpus, inference, keyword, lifecycle, parsing
@@ -30,7 +30,7 @@ def screen_texts(texts: DataFrame, reqs: DataFrame) -> DataFrame:
         "keyword_scores", keyword.keyword_scores_map(F.col("scored"))
     ).withColumnRenamed("preliminary_score", "final_score")
     hiring = reqs.select("job_position_id").distinct()
-    lost = failed_row(keyword.salted_lookup(failed, hiring, ["job_position_id"], ["cv_id"], "left_semi"))
+    lost = failed_row(salted_lookup(failed, hiring, ["job_position_id"], ["cv_id"], "left_semi", reqs))
     both = rows.select(*lost.columns, "scored").unionByName(lost, allowMissingColumns=True)
     return both.withColumns(
         {
@@ -86,13 +86,14 @@ def generate_corpus(
     made = corpus.sanitize_generated(
         corpus.parse_generated(answers.where(F.col("error").isNull()), "content"), current_year
     )
-    texts = made.select(
+    # Rendered CVs are stored before they are read back, like any other upload.
+    texts = cut_lineage(made.select(
         F.col("item").alias("cv_id"),
         "job_position_id",
         corpus.generated_filename(F.col("quality_tier"), F.col("idx")).alias("original_filename"),
         F.lit(fixed.MIME_BY_FORMAT["txt"]).alias("mime_type"),
         corpus.render_text(F.col("content")).alias("raw_text"),
-    )
+    ))
     shortfall = inference.estimate_cost(answers).groupBy("job_position_id").agg(
         F.count(F.lit(1)).alias("requested"),
         F.count_if(F.col("error").isNull()).alias("produced"),

@@ -39,7 +39,7 @@ def guard_uploads(files: DataFrame, batches: DataFrame | None = None) -> tuple[D
     sizes = files.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("_files"), F.max("length").alias("_largest")
     )
-    joined = salted_lookup(files, sizes, ["batch_id"], ["filename"])
+    joined = salted_lookup(files, sizes, ["batch_id"], ["filename"], bounded_by=files)
     reason = F.when(F.col("_files") > fixed.MAX_UPLOAD_FILES, fixed.REASON_TOO_MANY).when(
         F.col("_largest") > fixed.MAX_UPLOAD_BYTES, fixed.REASON_TOO_LARGE
     )

@@ -149,7 +149,8 @@ def l5_rejected_overrides(spark, sf):
 )
 def l6_rescore(spark, sf):
     lost = F.col("cv_id") % 7 == 0
-    stored = inputs.document_sentences(spark, sf).withColumns(
+    sentences = inputs.document_sentences(spark, sf)
+    stored = inputs.document_cvs(spark, sf).select("cv_id", JOB).withColumns(
         {
             "parsing_confidence": F.when(lost, "failed").otherwise("high"),
             "tier": F.when(lost, "no-match").otherwise("great"),
@@ -159,7 +160,7 @@ def l6_rescore(spark, sf):
             "ai_cost_usd": F.lit(0.25),
         }
     )
-    again = lifecycle.rescore(stored, inputs.corpus_requirements(spark))
+    again = lifecycle.rescore(stored, sentences, inputs.corpus_requirements(spark))
     return again.select(
         "cv_id", "tier", F.round("final_score", 6).alias("final_score"), "elimination_reason",
         "parsing_confidence", "ai_model_used",

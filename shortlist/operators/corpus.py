@@ -12,7 +12,7 @@ from shortlist.operators.inference import GENERATION_INSTRUCTIONS
 def allocate_mix(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests (job_position_id, count, strong, partial) to one row per CV wanted, numbered from 0
     with strong first, then partial, then weak. Requests whose rounded shares exceed the count
-    are returned apart."""
+    are returned apart. Rows are made block by block, so one huge request fills many tasks."""
     sized = requests.withColumns(
         {
             "_strong": round_half_up(F.col("count") * F.col("strong")),
@@ -20,8 +20,15 @@ def allocate_mix(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
         }
     )
     fits = F.col("_strong") + F.col("_partial") <= F.col("count")
-    numbered = sized.where(fits & (F.col("count") > 0)).withColumn(
-        "idx", F.explode(F.sequence(F.lit(0), F.col("count").cast("int") - 1))
+    blocks = (
+        sized.where(fits & (F.col("count") > 0))
+        .withColumn("count", F.col("count").cast("int"))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.expr("(count - 1) div 10000").cast("int"))))
+        .repartition("job_position_id", "_block")
+    )
+    first = F.col("_block") * 10000
+    numbered = blocks.withColumn(
+        "idx", F.explode(F.sequence(first, F.least(F.col("count"), first + 10000) - 1))
     )
     tier = (
         F.when(F.col("idx") < F.col("_strong"), "strong")

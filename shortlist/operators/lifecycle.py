@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shortlist.cluster import salted_lookup
 from shortlist.functions import fixed
-from shortlist.operators.keyword import judge, score_requirements
+from shortlist.operators.keyword import judge, keyword_scores_map, score_requirements
 from shortlist.operators.views import tier_counts, tier_summary
 
 JOB = "job_position_id"
@@ -148,28 +148,36 @@ def override_tiers(cvs: DataFrame, overrides: DataFrame) -> tuple[DataFrame, Dat
     return changed, rejected
 
 
-def rescore(cvs: DataFrame, reqs: DataFrame) -> DataFrame:
-    """Keyword stage again on stored sentences after a requirement edit.
+def rescore(cvs: DataFrame, sentences: DataFrame, reqs: DataFrame) -> DataFrame:
+    """Keyword stage again after a requirement edit, on the stored sentences (cv_id,
+    job_position_id, sentences) kept apart from the CV rows.
 
-    Model columns are cleared and manual tiers are lost; failed rows stay as they are. Rows of
-    jobs with no requirements are not part of a run. Continue with the gate and the final stage.
+    Model columns are cleared and manual tiers are lost; failed rows stay as they are. Other CVs
+    of jobs without requirements are not part of a run and drop out. The sentences are read once
+    and matched in place; only narrow verdicts meet the CV rows. Continue with the gate and the
+    final stage.
     """
-    failed = cvs.where(F.col("parsing_confidence") == "failed")
-    parsed = cvs.where(F.col("parsing_confidence") != "failed")
-    fresh = ["scored", "preliminary_score", "missing_required", "total_required"]
-    base = parsed.drop("tier", "elimination_reason", *fresh)
-    judged = judge(score_requirements(base, reqs))
-    cleared = {
-        "final_score": F.col("preliminary_score"),
+    verdicts = judge(score_requirements(sentences.select("cv_id", JOB, "sentences"), reqs))
+    fresh = {
+        "tier": F.col("_new.tier"),
+        "elimination_reason": F.col("_new.elimination_reason"),
+        "final_score": F.col("_new.preliminary_score"),
+        "scored": F.col("_new.scored"),
+        "keyword_scores": keyword_scores_map(F.col("_new.scored")),
         "ai_scores": F.lit(None),
         "ai_model_used": F.lit(None),
         "ai_cost_usd": F.lit(0.0),
     }
+    new = F.struct("tier", "elimination_reason", "preliminary_score", "scored").alias("_new")
+    joined = cvs.join(verdicts.select("cv_id", new), "cv_id", "left")
+    failed = F.col("parsing_confidence") == "failed"
     types = dict(cvs.dtypes)
-    rows = judged.select(
-        *[cleared[c].cast(types[c]).alias(c) if c in cleared else F.col(c) for c in cvs.columns]
+    return joined.where(failed | F.col("_new").isNotNull()).select(
+        *[
+            F.when(failed, F.col(c)).otherwise(fresh[c].cast(types[c])).alias(c) if c in fresh else F.col(c)
+            for c in cvs.columns
+        ]
     )
-    return rows.unionByName(failed)
 
 
 def sweep_stale(jobs: DataFrame, now: datetime, minutes: int = fixed.STALE_MINUTES) -> DataFrame:

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, functions as F
 
 from shortlist import schemas
-from shortlist.cluster import cut_lineage, salted_lookup
+from shortlist.cluster import cut_lineage
 from shortlist.functions import fixed
 from shortlist.functions.redaction import redact
 from shortlist.operators import corpus, inference, keyword, lifecycle, parsing
 from shortlist.operators.final import apply_ai_results, run_totals
 from shortlist.sources.files import route_format
-from shortlist.sources.tables import failed_row
+
+
+TEXT_COLUMNS = ["raw_text", "anonymized_text", "sections", "sentences", "entities"]
+
+
+class Screening(NamedTuple):
+    """CV rows without their texts, run totals per job, and the texts as a table of their own, so
+    that result queries and later updates never move them."""
+
+    cvs: DataFrame
+    totals: DataFrame
+    texts: DataFrame
 
 
 def screen_texts(texts: DataFrame, reqs: DataFrame) -> DataFrame:
@@ -19,55 +32,64 @@ def screen_texts(texts: DataFrame, reqs: DataFrame) -> DataFrame:
 
     Takes (cv_id, job_position_id, original_filename, mime_type, raw_text) and optionally
     `read_error`; returns one CV row per input row of a job with requirements. One narrow pass
-    over the texts: the only join looks up the job's requirement list.
+    over the texts: the only join looks up the job's requirement list. A failed file goes along
+    with its text blanked and gets its own verdict at the end, so it costs no second scan.
     """
     if "read_error" not in texts.columns:
         texts = texts.withColumn("read_error", F.lit(None).cast("string"))
-    classified = parsing.classify_confidence(route_format(texts))
-    parsed, failed = parsing.split_outcomes(classified)
-    matched = keyword.keyword_filter(redact(parsing.enrich(parsed)), reqs)
-    rows = matched.withColumn(
-        "keyword_scores", keyword.keyword_scores_map(F.col("scored"))
-    ).withColumnRenamed("preliminary_score", "final_score")
-    hiring = reqs.select("job_position_id").distinct()
-    lost = failed_row(salted_lookup(failed, hiring, ["job_position_id"], ["cv_id"], "left_semi", reqs))
-    both = rows.select(*lost.columns, "scored").unionByName(lost, allowMissingColumns=True)
-    return both.withColumns(
-        {
-            "ai_scores": F.lit(None).cast(schemas.AI_RESPONSE_STRUCT),
-            "ai_model_used": F.lit(None).cast("string"),
-            "ai_cost_usd": F.lit(0.0),
-        }
+    judged = parsing.outcome_reason(parsing.classify_confidence(route_format(texts)))
+    failed = F.col("failure_reason").isNotNull()
+    blanked = judged.withColumn("raw_text", F.when(failed, F.lit("")).otherwise(F.col("raw_text")))
+    matched = keyword.keyword_filter(redact(parsing.enrich(blanked)), reqs)
+    none = F.create_map().cast(schemas.KEYWORD_SCORES_MAP)
+    return matched.select(
+        "cv_id",
+        "job_position_id",
+        "original_filename",
+        "mime_type",
+        *TEXT_COLUMNS,
+        F.when(failed, F.lit("failed")).otherwise(F.col("parsing_confidence")).alias("parsing_confidence"),
+        F.when(failed, none).otherwise(keyword.keyword_scores_map(F.col("scored"))).alias("keyword_scores"),
+        F.when(failed, F.lit(0.0)).otherwise(F.col("preliminary_score")).alias("final_score"),
+        F.when(failed, F.lit("no-match")).otherwise(F.col("tier")).alias("tier"),
+        F.when(failed, F.col("failure_reason")).otherwise(F.col("elimination_reason")).alias("elimination_reason"),
+        "scored",
+        F.lit(None).cast(schemas.AI_RESPONSE_STRUCT).alias("ai_scores"),
+        F.lit(None).cast("string").alias("ai_model_used"),
+        F.lit(0.0).alias("ai_cost_usd"),
     )
 
 
-def score_candidates(screened: DataFrame, client, **call_options) -> tuple[DataFrame, DataFrame]:
-    """Model stage on screened CVs: (updated CVs, run totals per job).
+def score_candidates(cvs: DataFrame, texts: DataFrame, client, **call_options) -> tuple[DataFrame, DataFrame]:
+    """Model stage: (updated CV rows, run totals per job). `texts` has the gate's columns next to the
+    texts the prompts quote.
 
     The gate is applied below the Python boundary. Answers are checkpointed at once, so the calls
     are made (and paid for) one time whatever happens to executors afterwards.
     """
-    gated = inference.route_model(inference.gate_candidates(screened))
+    gated = inference.route_model(inference.gate_candidates(texts))
+    call_options.setdefault("carry", ("job_position_id",))
     answers = cut_lineage(inference.batch_infer(inference.scoring_prompts(gated), client, **call_options))
     answered = inference.estimate_cost(inference.parse_responses(answers))
-    updated = apply_ai_results(screened, answered)
-    with_job = answered.join(screened.select("cv_id", "job_position_id"), "cv_id")
-    return updated, run_totals(with_job, inference.gate_counts(screened))
+    updated = apply_ai_results(cvs, answered)
+    return updated, run_totals(answered, inference.gate_counts(cvs))
 
 
-def screen(texts: DataFrame, reqs: DataFrame, client, **call_options) -> tuple[DataFrame, DataFrame]:
-    """Texts to final CV rows and run totals. Screened rows are checkpointed because both the
-    prompts and the merge of the answers read them."""
-    return score_candidates(cut_lineage(screen_texts(texts, reqs)), client, **call_options)
+def screen(texts: DataFrame, reqs: DataFrame, client, **call_options) -> Screening:
+    """Texts to final CV rows. Screened rows are checkpointed because both the prompts and the merge
+    of the answers read them."""
+    stored = cut_lineage(screen_texts(texts, reqs))
+    updated, totals = score_candidates(stored.drop(*TEXT_COLUMNS), stored, client, **call_options)
+    return Screening(updated, totals, stored.select("cv_id", "job_position_id", *TEXT_COLUMNS))
 
 
-def rescore(cvs: DataFrame, reqs: DataFrame, client, **call_options) -> tuple[DataFrame, DataFrame]:
-    """Keyword and model stages again on stored CVs after a requirement edit."""
-    fresh = cut_lineage(lifecycle.rescore(cvs, reqs))
-    parsed = fresh.where(F.col("parsing_confidence") != "failed")
-    failed = fresh.where(F.col("parsing_confidence") == "failed")
-    updated, totals = score_candidates(parsed, client, **call_options)
-    return updated.unionByName(failed), totals
+def rescore(cvs: DataFrame, texts: DataFrame, reqs: DataFrame, client, **call_options) -> Screening:
+    """Keyword and model stages again on what `screen` returned, after a requirement edit."""
+    fresh = cut_lineage(lifecycle.rescore(cvs, texts, reqs))
+    passed = inference.gate_candidates(fresh).select("cv_id", "tier", "scored")
+    candidates = texts.join(passed, "cv_id")
+    updated, totals = score_candidates(fresh, candidates, client, **call_options)
+    return Screening(updated, totals, texts)
 
 
 def generate_corpus(
@@ -78,11 +100,8 @@ def generate_corpus(
     wanted, _ = corpus.allocate_mix(requests)
     prompts = corpus.generation_prompts(wanted, jobs, reqs)
     call_options.setdefault("concurrency", fixed.GENERATIONS_IN_FLIGHT)
-    answers = cut_lineage(
-        prompts.select("job_position_id", "idx", "quality_tier", "item").join(
-            inference.batch_infer(prompts, client, key="item", **call_options), "item"
-        )
-    )
+    kept = ("job_position_id", "idx", "quality_tier")
+    answers = cut_lineage(inference.batch_infer(prompts, client, key="item", carry=kept, **call_options))
     made = corpus.sanitize_generated(
         corpus.parse_generated(answers.where(F.col("error").isNull()), "content"), current_year
     )

@@ -223,9 +223,10 @@ def stream_timings(op_events: DataFrame, out: str, state: str, checkpoint: str)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         columns = [JOB, "op", "phase", "ts", "seq"]
-        events = batch.select(*columns)
+        arrived = batch.select(*columns).persist()
+        events = arrived
         if batch_id > 0:
-            events = events.unionByName(batch.sparkSession.read.parquet(f"{state}/{batch_id - 1}"))
+            events = arrived.unionByName(batch.sparkSession.read.parquet(f"{state}/{batch_id - 1}"))
         last = events.groupBy(JOB, "op").agg(
             F.max_by(F.struct("phase", "ts", "seq"), F.struct("ts", "seq")).alias("_e")
         )
@@ -234,6 +235,7 @@ def stream_timings(op_events: DataFrame, out: str, state: str, checkpoint: str)
         kept = batch.sparkSession.read.parquet(f"{state}/{batch_id}")
         done = stage_timings(events).join(kept.select(JOB, "op", "seq"), [JOB, "op", "seq"], "left_anti")
         done.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        arrived.unpersist()
 
     return (
         op_events.writeStream.foreachBatch(on_batch)

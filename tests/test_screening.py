@@ -227,7 +227,7 @@ def test_whole_flow(spark, reqs):
         assert "PHP" not in user
         return content, 1000, 100
 
-    rows, totals = screening.screen(texts(spark), reqs, client)
+    rows, totals, kept = screening.screen(texts(spark), reqs, client)
     got = {r.cv_id: r for r in rows.collect()}
     assert sorted(got) == [1, 2, 3, 4, 5]
     assert got[1].ai_model_used == "gpt-5.1" and got[1].tier == "no-match" and got[1].elimination_reason is None
@@ -242,7 +242,7 @@ def test_whole_flow(spark, reqs):
     def down(model, system, user):
         raise RuntimeError("down")
 
-    again, totals = screening.rescore(rows, reqs, down, retries=0)
+    again, totals, _ = screening.rescore(rows, kept, reqs, down, retries=0)
     got = {r.cv_id: r for r in again.collect()}
     assert got[1].tier == "great" and got[1].final_score == 96 and got[1].ai_scores is None
     assert got[5].elimination_reason == "Could not read file: bad xref table"
@@ -254,7 +254,7 @@ def test_failed_call_keeps_earlier_scores(spark, reqs):
         return content, 10, 10
 
     content = answer(1.0)
-    rows, _ = screening.screen(texts(spark), reqs, client)
+    rows = screening.screen(texts(spark), reqs, client).cvs
     results = spark.createDataFrame([(1, "gpt-5.1", 0.0)], "cv_id bigint, model string, cost_usd double").withColumn(
         "ai_scores", F.lit(None).cast(schemas.AI_RESPONSE_STRUCT)
     )

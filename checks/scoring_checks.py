@@ -12,7 +12,7 @@ from shortlist.cluster import cut_lineage
 from shortlist.functions import redaction
 from shortlist.functions.text import json_string
 from shortlist.operators import final, inference, keyword, views
-from shortlist.operators.parsing import enrich
+from shortlist.operators.parsing import enrich, sentences
 
 
 def screened_documents(spark, sf):
@@ -148,8 +148,9 @@ def _inline_sql(x):
     FROM screened JOIN lines USING (cv_id) JOIN facts USING (cv_id) JOIN safe USING (cv_id) WHERE tier IN ('good', 'great')""",
 )
 def a3_scoring_prompts(spark, sf):
-    resumes = redaction.redact(enrich(inputs.template_cvs(spark, sf)))
-    gated = inference.gate_candidates(keyword.keyword_filter(resumes, inputs.demo_requirements(spark)))
+    matched = keyword.keyword_filter(sentences(inputs.template_cvs(spark, sf)), inputs.demo_requirements(spark))
+    survivors = inference.gate_candidates(matched).drop("sentences")
+    gated = redaction.redact(enrich(survivors))  # the costly steps only for those the model will see
     prompts = inference.scoring_prompts(gated)
     start = F.element_at(F.split("user_prompt", "FULL ANONYMIZED CV TEXT:\n"), 2)
     return prompts.select(

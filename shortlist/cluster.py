@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 SALTS = 16
 BROADCAST_ROWS = 50_000
@@ -50,24 +51,31 @@ def salted_lookup(
     return salted_rows.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder, so a lost executor never repeats (or
-    changes the outcome of) the work above it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the session's `spark.checkpoint.dir`, or the checkpoint folder
+    set on the context. Only a local session without either gets a temporary one."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="shortlist-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="shortlist-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the shared folder and go on from there, so that a lost executor
+    never repeats (or changes the outcome of) the work above. Being columnar, the table lets each
+    later reader take only its columns."""
+    path = f"{shared_folder(df.sparkSession)}/shortlist-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _slices(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Range-partition on (keys, order) and number the ranges. The ranges come from sampling, so
-    they are fixed by a checkpoint before anything is derived from their numbers."""
+    they are fixed in a written table before anything is derived from their numbers."""
     count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(count, *[F.col(k).asc() for k in keys], *order)
     return cut_lineage(ranged.withColumn("_slice", F.spark_partition_id()))

@@ -64,7 +64,7 @@ def score_candidates(cvs: DataFrame, texts: DataFrame, client, **call_options) -
     """Model stage: (updated CV rows, run totals per job). `texts` has the gate's columns next to the
     texts the prompts quote.
 
-    The gate is applied below the Python boundary. Answers are checkpointed at once, so the calls
+    The gate is applied below the Python boundary. Answers are written out at once, so the calls
     are made (and paid for) one time whatever happens to executors afterwards.
     """
     gated = inference.route_model(inference.gate_candidates(texts))
@@ -76,7 +76,7 @@ def score_candidates(cvs: DataFrame, texts: DataFrame, client, **call_options) -
 
 
 def screen(texts: DataFrame, reqs: DataFrame, client, **call_options) -> Screening:
-    """Texts to final CV rows. Screened rows are checkpointed because both the prompts and the merge
+    """Texts to final CV rows. Screened rows are written out because both the prompts and the merge
     of the answers read them."""
     stored = cut_lineage(screen_texts(texts, reqs))
     updated, totals = score_candidates(stored.drop(*TEXT_COLUMNS), stored, client, **call_options)

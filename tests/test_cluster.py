@@ -41,12 +41,27 @@ def test_hot_group_is_split_over_slices(skewed):
     assert sliced.where("g = 'hot'").select("_slice").distinct().count() > 1
 
 
-def test_checkpoint_folder_comes_from_the_session(spark):
-    cluster.cut_lineage(spark.range(3))
-    folder = spark.sparkContext.getCheckpointDir()
-    assert folder is not None
-    cluster.cut_lineage(spark.range(3))
-    assert spark.sparkContext.getCheckpointDir() == folder
+class Session:
+    """Just enough of a session to ask for its shared folder."""
+
+    def __init__(self, master, conf, folder=None):
+        self.conf = conf
+        self.sparkContext = type("Context", (), {"master": master, "getCheckpointDir": lambda _: folder})()
+
+
+def test_shared_folder(spark):
+    assert cluster.shared_folder(Session("yarn", {"spark.checkpoint.dir": "hdfs:///c"})) == "hdfs:///c"
+    assert cluster.shared_folder(Session("yarn", {}, "hdfs:///set")) == "hdfs:///set"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        cluster.shared_folder(Session("yarn", {}))
+    assert cluster.shared_folder(spark) == cluster.shared_folder(spark)
+
+
+def test_cut_lineage_reads_only_the_columns_asked_for(spark):
+    stored = cluster.cut_lineage(spark.range(5).withColumn("wide", F.lit("x")))
+    plan = stored.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "wide" not in plan.split("ReadSchema")[1]
+    assert stored.count() == 5
 
 
 def test_read_route_decode(spark, tmp_path):

@@ -43,7 +43,8 @@ def boundary_match(norm: Column, needle: Column, pattern: Column | None = None)
 def split_sentences(col: Column) -> Column:
     """Sentences as an array: split on sentence ends, newlines and bullets; short ones dropped."""
     parts = F.transform(F.split(col, java_pattern(fixed.SENTENCE_BREAK)), js_trim)
-    return F.filter(parts, lambda s: utf16_length(s) >= fixed.MIN_SENTENCE_LENGTH)
+    enough = fixed.MIN_SENTENCE_LENGTH
+    return F.filter(parts, lambda s: (F.length(s) >= enough) | (utf16_length(s) >= enough))
 
 
 def round_half_up(col: Column) -> Column:

@@ -184,7 +184,7 @@ def k11_keyword_scores_map(spark, sf):
     mapped = scored_documents(spark, sf).select(
         "cv_id", keyword.keyword_scores_map(F.col("scored")).alias("keyword_scores")
     )
-    entries = mapped.select("cv_id", F.explode("keyword_scores").alias("requirement_id", "entry"))
+    entries = mapped.select("cv_id", F.explode_outer("keyword_scores").alias("requirement_id", "entry"))
     return entries.select(
         "cv_id", "requirement_id", joined(F.col("entry.matched_sentences")).alias("matched"), "entry.raw_score"
     )

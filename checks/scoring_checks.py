@@ -68,7 +68,7 @@ def ai_answers(gated):
 
 
 def answered(screened):
-    answers = ai_answers(inference.gate_candidates(screened))
+    answers = cut_lineage(ai_answers(inference.gate_candidates(screened)))  # as a flow stores them
     return inference.estimate_cost(inference.parse_responses(answers))
 
 

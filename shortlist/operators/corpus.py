@@ -36,9 +36,7 @@ def allocate_mix(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
         .otherwise("weak")
     )
     allocated = numbered.select("job_position_id", "idx", tier.alias("quality_tier"))
-    return allocated, requests.join(
-        sized.where(~fits).select("job_position_id"), "job_position_id", "left_semi"
-    )
+    return allocated, sized.where(~fits).select(*requests.columns)
 
 
 def _or_default(col: Column, default: str) -> Column:

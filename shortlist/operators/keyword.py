@@ -127,7 +127,10 @@ def score_requirements(cvs: DataFrame, reqs: DataFrame) -> DataFrame:
         return r.withField("score", raw_score(F.size(r["matched_sentences"])))
 
     scored = F.transform(F.transform(F.transform("requirements", live), matched), with_score)
-    return joined.withColumn("scored", scored).drop("_pairs", "_all", "requirements")
+    # Exploding a one-element array pins the result: a later filter on score or tier would otherwise
+    # be pushed below this step with the whole matching copied into it, several times over.
+    pinned = joined.select("*", F.explode(F.array(scored)).alias("scored"))
+    return pinned.drop("_pairs", "_all", "requirements")
 
 
 def keyword_scores_map(scored: Column) -> Column:

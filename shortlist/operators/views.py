@@ -138,8 +138,11 @@ def top_skills(cvs: DataFrame, n: int = 3) -> DataFrame:
     )
 
 
-def jobs_of(jobs: DataFrame, owner) -> DataFrame:
-    return jobs.where(F.col("user_id") == owner).orderBy(F.col("created_at").desc(), F.col(JOB).asc())
+def jobs_of(jobs: DataFrame, owner=None) -> DataFrame:
+    """Jobs newest first, of one owner or of each."""
+    if owner is not None:
+        jobs = jobs.where(F.col("user_id") == owner)
+    return jobs.orderBy(F.col("user_id").asc(), F.col("created_at").desc(), F.col(JOB).asc())
 
 
 def job_header(jobs: DataFrame, cvs: DataFrame) -> DataFrame:

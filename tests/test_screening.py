@@ -306,6 +306,11 @@ def test_merge_rows_rules(spark):
         lifecycle.merge_rows(base, new.union(new), ["k"], ["v"]).collect()
 
 
+def test_jobs_of_one_owner(spark):
+    jobs = spark.createDataFrame([(1, "u", 5), (2, "v", 9), (3, "u", 7)], "job_position_id int, user_id string, created_at int")
+    assert [r.job_position_id for r in views.jobs_of(jobs, "u").collect()] == [3, 1]
+
+
 def test_tier_summary_counts(spark):
     jobs = spark.createDataFrame([("a",), ("empty",)], "job_position_id string")
     cvs = spark.createDataFrame([("a", t) for t in ("great", "great", "good", "no-match", None)], "job_position_id string, tier string")

@@ -2,6 +2,7 @@
 
 from checks import (  # noqa: F401
     corpus_checks,
+    flow_checks,
     keyword_checks,
     lifecycle_checks,
     progress_checks,

@@ -1,4 +1,13 @@
 """All queries of this subpackage."""
 
-from shortlist.llm import packing, quality, simhash, suffix_dedup, token_files  # noqa: F401
+from shortlist.llm import (  # noqa: F401
+    chat,
+    decontaminate,
+    licenses,
+    packing,
+    quality,
+    simhash,
+    suffix_dedup,
+    token_files,
+)
 from shortlist.llm.registry import ORACLES, QUERIES  # noqa: F401

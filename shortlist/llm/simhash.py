@@ -184,3 +184,127 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BI
 @query("op1_simhash")
 def op1_simhash(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+# ---- near-duplicate removal at a shingle similarity -------------------------------------------------
+#
+# At a similarity of 0.8 whole-text fingerprints differ in about ten bits, too many for shared bytes to
+# be certain. Removal therefore also takes SimHashes of samples: sample i holds the `SAMPLE` shingles
+# that hash least under seed i, so similar texts often have equal samples, and an equal fingerprint means
+# all eight positional bytes shared. What meets in any posting is verified by its shingles.
+
+SAMPLES = 12
+SAMPLE = 3
+NEAR_SHINGLE = 5
+SIMILARITY = 0.8
+ALL_PAIRS = 24  # a posting list up to this length yields all its pairs (a bounded number per text)
+
+_ODD = np.random.default_rng(64).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sample_fingerprints(hashes: np.ndarray) -> list[int]:
+    out = []
+    for odd in _ODD:
+        mixed = hashes * odd
+        mixed ^= mixed >> np.uint64(31)
+        if len(mixed) > SAMPLE:
+            mixed = np.partition(mixed, SAMPLE - 1)[:SAMPLE]
+        out.append(int(np.array(fingerprint(mixed), np.uint64).view(np.int64)))
+    return out
+
+
+def _text_hash():
+    text = F.coalesce("text", F.lit(""))
+    return F.xxhash64(text, F.octet_length(text))
+
+
+def _prints(docs: DataFrame, size: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            _, texts = ids_and_texts(batch)
+            whole, samples, counts = [], [], []
+            for t in texts:
+                hashes = np.unique(shingle_hashes(t, size))
+                counts.append(len(hashes))
+                whole.append(fingerprint(hashes))
+                samples.append(sample_fingerprints(hashes) if len(hashes) else [0] * SAMPLES)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(2), pa.array(np.array(whole, np.uint64).view(np.int64)),
+                    pa.array(samples, pa.list_(pa.int64())), pa.array(counts, pa.int64()),
+                ],
+                ["doc_id", "th", "fp", "samples", "n"],
+            )
+
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", _text_hash().alias("th"))
+    return keyed.mapInArrow(run, "doc_id long, th long, fp long, samples array<long>, n long")
+
+
+def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(th, shingles) with 32-bit shingle hashes of each text."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t or b"", size).astype(np.uint32)).view(np.int32) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["th", "shingles"])
+
+    return texts.mapInArrow(run, "th long, shingles array<int>")
+
+
+def _list_pairs(postings: DataFrame) -> DataFrame:
+    """(a, b) from posting lists (key, th): all pairs of short lists; of long ones the first with each.
+    Long lists are never gathered. Lists keyed by two samples split what one sample leaves long."""
+    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("th").alias("first")).where("k > 1")
+    short = sizes.where(F.col("k") <= ALL_PAIRS).select("key")
+    lists = postings.join(short, "key").groupBy("key").agg(F.sort_array(F.collect_set("th")).alias("m"))
+    pairs = lists.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, ALL_PAIRS)).alias("b"))
+    long = postings.join(sizes.where(F.col("k") > ALL_PAIRS).select("key", "first"), "key").where(F.col("th") != F.col("first"))
+    return pairs.unionByName(long.select(F.col("first").alias("a"), F.col("th").alias("b")))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents without all but one (the smallest doc_id, null last) of each group of near copies.
+
+    Groups are the connected texts at a Jaccard similarity of `similarity` or more of their word
+    shingles. Equal texts are one node. Null and empty texts are one group. Of rows that repeat a
+    document one stays. All columns as they were.
+    """
+    prints = cut_lineage(_prints(docs, size))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id")
+    nodes = cut_lineage(
+        prints.groupBy("th").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("samples").alias("samples"), F.first("n").alias("n"))
+    )
+    distinct = nodes.select("fp").distinct()
+    links = fingerprint_links(distinct, nodes.count())
+    roots = connected_components(links)
+    whole = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(F.xxhash64(F.lit(-1), F.coalesce("component", "fp")).alias("key"), "th")
+    sampled = nodes.select(F.posexplode("samples").alias("i", "s"), "th", "samples")
+    following = F.get("samples", (F.col("i") + 1) % SAMPLES)
+    single = sampled.select(F.xxhash64("i", "s").alias("key"), "th")
+    double = sampled.select(F.xxhash64("i", "s", following).alias("key"), "th")
+    postings = cut_lineage(whole.unionByName(single).unionByName(double))
+    pairs = cut_lineage(_list_pairs(postings).distinct())
+    wanted = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
+    firsts = nodes.join(wanted, "th").select("th", F.col("first.doc_id").alias("_id"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash().alias("th"))
+    texts = keyed.join(firsts, "th").where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("th", "text")
+    sets = cut_lineage(_shingle_sets(texts, size).groupBy("th").agg(F.first("shingles").alias("shingles")))
+    both = (
+        pairs.join(sets.select(F.col("th").alias("b"), F.col("shingles").alias("sb")), "b")
+        .join(sets.select(F.col("th").alias("a"), F.col("shingles").alias("sa")), "a")
+    )
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    groups = connected_components(alike)
+    members = nodes.join(groups, nodes["th"] == groups["node"]).select("th", "first", "component")
+    best = members.groupBy("component").agg(F.min(F.struct("first", "th")).alias("best"))
+    losers = members.join(best, "component").where(F.col("th") != F.col("best.th")).select("th")
+    keepers = nodes.join(losers, "th", "left_anti").select(F.col("th").alias("_th"), F.col("first.doc_id").alias("_id"))
+    repeated = prints.groupBy("th", "doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    keepers = keepers.join(repeated, (F.col("_th") == F.col("th")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("_th", "_id", "_rows")
+    out = docs.withColumn("_key", _text_hash()).join(
+        keepers, (F.col("_key") == F.col("_th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    )
+    once = out.where("_rows = 1").select(*docs.columns)
+    twice = out.where("_rows > 1").dropDuplicates(["_th", "_id"]).select(*docs.columns)
+    return once.unionByName(twice)

@@ -5,6 +5,7 @@ from shortlist.llm import (  # noqa: F401
     decontaminate,
     licenses,
     packing,
+    ppm,
     quality,
     simhash,
     suffix_dedup,

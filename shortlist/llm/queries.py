@@ -10,5 +10,6 @@ from shortlist.llm import (  # noqa: F401
     simhash,
     suffix_dedup,
     token_files,
+    windows,
 )
 from shortlist.llm.registry import ORACLES, QUERIES  # noqa: F401

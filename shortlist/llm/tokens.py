@@ -8,13 +8,14 @@ ids always come from the tokenizer. Any other text is encoded as it is.
 
 from __future__ import annotations
 
-import numpy as np
+from array import array
+
 import public_tokenizers
 
 from shortlist.llm.common import worker_cache
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHE_BYTES = 48 << 20  # of a worker's remembered units; they are forgotten beyond it
+CACHE_BYTES = 128 << 20  # of a worker's remembered units; beyond it only units met again are kept
 _SPECIAL = "<|endoftext|>"
 
 
@@ -28,7 +29,7 @@ class Encoder:
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each."""
@@ -41,6 +42,7 @@ class Encoder:
             else:
                 split.append((at, units))
                 missing.update(units)
+        again = missing & self.known.keys() if self.held > CACHE_BYTES // 2 else ()
         missing.difference_update(self.known)
         if missing:
             fresh = list(missing)
@@ -55,7 +57,10 @@ class Encoder:
         for at in plain:
             out[at] = self.whole([texts[at]])[0]
         if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
+            self.known = {u: known[u] for u in again}
+            self.held = sum(len(u) + len(ids) + 200 for u, ids in self.known.items())
+            if self.held > CACHE_BYTES // 2:
+                self.known, self.held = {}, 0
         return out
 
 

@@ -51,6 +51,16 @@ def salted_lookup(
     return salted_rows.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
+def latest(commands: DataFrame, *keys: str) -> DataFrame:
+    """One command per key: the one with the greatest `seq` where there is such a column."""
+    rest = [c for c in commands.columns if c not in keys]
+    if not rest:
+        return commands.distinct()
+    order = F.col("seq") if "seq" in rest else F.xxhash64(*rest)
+    chosen = commands.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_one"))
+    return chosen.select(*keys, "_one.*").select(*commands.columns)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the session's `spark.checkpoint.dir`, or the checkpoint folder
     set on the context. Only a local session without either gets a temporary one."""

@@ -134,10 +134,15 @@ def score_requirements(cvs: DataFrame, reqs: DataFrame) -> DataFrame:
 
 
 def keyword_scores_map(scored: Column) -> Column:
-    """Requirement id to (matched sentences, raw score); every requirement has an entry."""
+    """Requirement id to (matched sentences, raw score); of entries with one id the last counts."""
+
+    def last_of_id(entry: Column, at: Column) -> Column:
+        later = F.slice(F.transform(scored, lambda r: r["requirement_id"]), at + 2, F.size(scored))
+        return ~F.coalesce(F.array_contains(later, entry["requirement_id"]), F.lit(False))
+
     return F.map_from_entries(
         F.transform(
-            scored,
+            F.filter(scored, last_of_id),
             lambda r: F.struct(
                 r["requirement_id"].alias("key"),
                 F.struct(

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shortlist.cluster import salted_lookup
+from shortlist.cluster import latest, salted_lookup
 from shortlist.functions import fixed
 from shortlist.operators.keyword import judge, keyword_scores_map, score_requirements
 from shortlist.operators.views import tier_counts, tier_summary
@@ -60,7 +60,7 @@ def _set_where(df: DataFrame, condition: Column, **values: Column) -> DataFrame:
 def apply_extraction(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Requirement extraction results (job_position_id, requirements, cost_usd, error) applied to
     CREATED and FAILED jobs only; any other state is left alone, so edits are never overwritten."""
-    given = outcomes.select(
+    given = latest(outcomes, JOB).select(
         JOB, F.col("requirements").alias("_reqs"), F.col("cost_usd").alias("_cost"),
         F.col("error").alias("_error"), F.lit(True).alias("_done"),
     )
@@ -78,9 +78,9 @@ def apply_extraction(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def start_runs(jobs: DataFrame, commands: DataFrame) -> DataFrame:
     """Commands (job_position_id, add_cvs, initial_stage): processing starts at 0, the stored
-    total grows by `add_cvs` where given."""
-    given = commands.select(
-        JOB, F.col("add_cvs").alias("_add"), F.col("initial_stage").alias("_stage"), F.lit(True).alias("_run")
+    total grows by `add_cvs` where given. Several commands for one job add up."""
+    given = commands.groupBy(JOB).agg(
+        F.sum("add_cvs").cast("int").alias("_add"), F.max("initial_stage").alias("_stage"), F.lit(True).alias("_run")
     )
     joined = jobs.join(given, JOB, "left")
     return _set_where(
@@ -138,8 +138,10 @@ def override_tiers(cvs: DataFrame, overrides: DataFrame) -> tuple[DataFrame, Dat
     """Manual tiers (cv_id, job_position_id, new_tier): applied only where the CV belongs to that
     job. Sets the tier, clears the reason, keeps the score. Returns (CVs, rejected overrides)."""
     owned = cvs.select("cv_id", JOB)
-    rejected = overrides.join(owned, ["cv_id", JOB], "left_anti")
-    given = overrides.select("cv_id", JOB, F.col("new_tier").alias("_tier"))
+    known = F.coalesce(F.col("new_tier").isin("great", "good", "no-match"), F.lit(False))
+    allowed = overrides.where(known)
+    rejected = allowed.join(owned, ["cv_id", JOB], "left_anti").unionByName(overrides.where(~known))
+    given = latest(allowed, "cv_id", JOB).select("cv_id", JOB, F.col("new_tier").alias("_tier"))
     joined = cvs.join(given, ["cv_id", JOB], "left")
     hit = F.col("_tier").isNotNull()
     changed = _set_where(

@@ -42,7 +42,9 @@ def outcome_reason(df: DataFrame) -> DataFrame:
     unsupported formats reported the same way; neither ever stops the rest of the batch."""
     unsupported = F.when(
         F.col("format") == "unsupported",
-        F.concat(F.lit("Unsupported file type: "), F.col("mime_type"), F.lit(" / "), F.col("original_filename")),
+        F.concat(
+            F.lit("Unsupported file type: "), F.coalesce("mime_type", F.lit("")), F.lit(" / "), F.coalesce("original_filename", F.lit(""))
+        ),
     )
     raised = F.coalesce(F.col("read_error"), unsupported)
     by_read = F.when(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shortlist.cluster import latest
 from shortlist.functions import fixed
 from shortlist.functions.text import utf16_length
 
@@ -154,10 +155,10 @@ def requirement_conformance(reqs: DataFrame) -> DataFrame:
 def edit_requirements(reqs: DataFrame, patches: DataFrame, removals: DataFrame) -> DataFrame:
     """Patch flag, text and weight by id where a patch gives them; drop removed ids."""
     keys = ["job_position_id", "requirement_id"]
-    given = patches.select(
+    given = latest(patches, *keys).select(
         *keys, *[F.col(c).alias(f"_new_{c}") for c in ("text", "weight", "is_required")]
     )
-    patched = reqs.join(removals, keys, "left_anti").join(given, keys, "left")
+    patched = reqs.join(removals.select(*keys), keys, "left_anti").join(given, keys, "left")
     return patched.select(
         *[
             F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if f"_new_{c}" in given.columns else F.col(c)

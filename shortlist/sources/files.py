@@ -12,7 +12,7 @@ def read_cv_files(spark: SparkSession, glob: str, content: bool = True) -> DataF
     """(path, filename, mime_type, length, modificationTime[, content]) of files under a path. The
     MIME type follows the extension, as an upload's would. Without `content` only metadata is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(glob)
-    filename = F.url_decode(F.element_at(F.split("path", "/"), -1))
+    filename = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.regexp_extract(filename, r"\.([^.]+)$", 1))
     mime = F.when(ext == "x", None)
     for name, value in fixed.MIME_BY_FORMAT.items():

@@ -3,8 +3,8 @@
 Items are cut evenly into units of at most 32 words, documents into passages of 64 words every 32, so
 that each run of 32 words lies whole in some passage. A unit's BM25 score is divided by the score it
 gives itself, which puts one threshold on all of them. Block-max WAND finds every unit at or above the
-threshold: passages whose terms' upper bounds cannot reach it stop there; the others walk the
-postings with per-block maxima. A candidate item is then verified on the document: at least
+threshold: a passage first sums the maxima of its terms per block of `_LIVE` units, and stops there if
+no block can reach the threshold; otherwise it walks the postings with their own block maxima. A candidate item is then verified on the document: at least
 `MIN_OVERLAP` of the item's five-word shingles must occur in it, and, where the item has an answer, the
 answer's words must stand in it as well.
 
@@ -36,6 +36,7 @@ MIN_OVERLAP = 0.8
 SHARD_BYTES = 16 << 20
 K1, B = 1.2, 0.75
 _POSTINGS = 64  # per block
+_LIVE = 4  # units per block of the first bound
 
 _WORD = re.compile(r"\w+")
 _TOLERANCE = 1e-9
@@ -83,6 +84,11 @@ class Index:
         self.scores = [[x for _, x in p] for p in postings.values()]
         self.block_max = [[max(s[i : i + _POSTINGS]) for i in range(0, len(s), _POSTINGS)] for s in self.scores]
         self.bound = np.array([max(s) for s in self.scores] + [0.0])
+        self.live: list[tuple[np.ndarray, np.ndarray]] = []
+        for held, scores in zip(self.units, self.scores):
+            block = np.array(held, np.int64) // _LIVE
+            first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+            self.live.append((block[first], np.maximum.reduceat(np.array(scores), first)))
         self.questions: dict[int, tuple[int, set[int]]] = {}
         self.answers: dict[int, list[str]] = {}
 
@@ -143,6 +149,12 @@ class Index:
             at = last if units[last - 1] < unit else at + 1
         return at
 
+    def _alive(self, terms: set[int], least: float) -> bool:
+        """Whether some block of units can reach the threshold with these terms."""
+        held = [self.live[t] for t in terms]
+        upper = np.bincount(np.concatenate([b for b, _ in held]), np.concatenate([m for _, m in held]))
+        return upper.max() >= least - _TOLERANCE
+
     def candidates(self, words: list[str], least: float) -> dict[int, float]:
         """Best score of each item that some passage of the document retrieves."""
         get, unknown = self.term.get, len(self.bound) - 1
@@ -155,7 +167,7 @@ class Index:
         best: dict[int, float] = {}
         for k in np.flatnonzero(reach[ends] - reach[starts] >= least - _TOLERANCE).tolist():
             distinct = set(terms[starts[k] : ends[k]].tolist()) - {unknown}
-            if sum(self.bound[t] for t in distinct) < least - _TOLERANCE:
+            if not distinct or not self._alive(distinct, least):
                 continue
             for unit, score in self.search(list(distinct), least).items():
                 item = self.owner[unit]

@@ -133,8 +133,9 @@ def g3_render_text(spark, sf):
      CASE quality WHEN 'strong' THEN 8 WHEN 'partial' THEN 4 ELSE 0 END AS years FROM made""",
 )
 def g4_generate_corpus(spark, sf):
-    """As many CVs per hiring segment as it has customers, from a fixed stand-in for the model."""
-    customers = inputs.table(spark, sf, "customer").where(F.col("c_mktsegment") != "MACHINERY")
+    """As many CVs per hiring segment as it has customers, from a fixed stand-in for the model.
+    MACHINERY has no requirements: its CVs are refused."""
+    customers = inputs.table(spark, sf, "customer")
     requests = customers.groupBy(F.col("c_mktsegment").alias(JOB)).agg(
         F.count(F.lit(1)).alias("count"), F.lit(0.25).alias("strong"), F.lit(0.5).alias("partial")
     )

@@ -178,7 +178,7 @@ def k10_elimination_reason(spark, sf):
 @check(
     "k11_keyword_scores_map",
     KW + """SELECT cv_id, requirement_id, array_to_string(matched_sentences, chr(10)) AS matched,
-    score AS raw_score FROM kw""",
+    score AS raw_score FROM kw UNION ALL SELECT cv_id, NULL, NULL, NULL FROM bare""",
 )
 def k11_keyword_scores_map(spark, sf):
     mapped = scored_documents(spark, sf).select(

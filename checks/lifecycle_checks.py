@@ -141,11 +141,12 @@ def l5_rejected_overrides(spark, sf):
 
 @check(
     "l6_rescore",
-    SCREENED_SQL + """SELECT cv_id, CASE WHEN cv_id % 7 = 0 THEN 'no-match' ELSE tier END AS tier,
-     CASE WHEN cv_id % 7 = 0 THEN 0 ELSE round(preliminary_score, 6) END AS final_score,
-     CASE WHEN cv_id % 7 = 0 THEN 'unreadable' ELSE elimination_reason END AS elimination_reason,
-     CASE WHEN cv_id % 7 = 0 THEN 'failed' ELSE 'high' END AS parsing_confidence, NULL AS ai_model_used
-    FROM screened UNION ALL SELECT doc_id, 'no-match', 0, 'unreadable', 'failed', NULL FROM documents WHERE doc_id % 7 = 0 AND lang = 'es'""",
+    SCREENED_SQL + """SELECT cv_id, CASE WHEN cv_id % 7 = 0 THEN 'no-match' WHEN unrun THEN 'great' ELSE tier END AS tier,
+     CASE WHEN cv_id % 7 = 0 THEN 0 WHEN unrun THEN 99 ELSE round(preliminary_score, 6) END AS final_score,
+     CASE WHEN cv_id % 7 = 0 THEN 'unreadable' WHEN unrun THEN NULL ELSE elimination_reason END AS elimination_reason,
+     CASE WHEN cv_id % 7 = 0 THEN 'failed' ELSE 'high' END AS parsing_confidence,
+     CASE WHEN cv_id % 7 <> 0 AND unrun THEN 'gpt-5.1' END AS ai_model_used
+    FROM (SELECT *, job_position_id NOT IN (SELECT job_position_id FROM corpus_reqs) AS unrun FROM screened)""",
 )
 def l6_rescore(spark, sf):
     lost = F.col("cv_id") % 7 == 0

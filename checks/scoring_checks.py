@@ -209,16 +209,24 @@ def a6_estimate_cost(spark, sf):
     BASE + f"""SELECT a.cv_id, a.pos, a.requirement_id, a.score IN (0.0, 0.3, 0.6, 1.0) AS on_scale,
      a.score <= 0 OR a.evidence <> '' AS evidence_given,
      a.evidence = '' OR contains(safe.anonymized_text, a.evidence) AS evidence_verbatim,
-     true AS requirement_known, r.n > 1 AS repeated FROM ai_long a
+     true AS cv_known, true AS requirement_known, r.n > 1 AS repeated FROM ai_long a
     JOIN (SELECT cv_id, anonymized_text FROM {_redacted_sql('(SELECT cv_id, raw_text FROM docs)')}) safe USING (cv_id)
     JOIN (SELECT cv_id, requirement_id, count(*) AS n FROM ai_long GROUP BY ALL) r
-     ON r.cv_id = a.cv_id AND r.requirement_id = a.requirement_id""",
+     ON r.cv_id = a.cv_id AND r.requirement_id = a.requirement_id
+    UNION ALL SELECT CASE WHEN pos = 0 THEN -1 - cv_id ELSE cv_id END, pos + 100, 'req_99', score IN (0.0, 0.3, 0.6, 1.0),
+     score <= 0 OR evidence <> '', evidence = '' OR (pos > 0 AND contains(anonymized_text, evidence)), pos > 0, false,
+     pos > 0 AND count(*) FILTER (WHERE pos > 0) OVER (PARTITION BY cv_id) > 1
+    FROM ai_long JOIN {_redacted_sql('(SELECT cv_id, raw_text FROM docs)')} USING (cv_id)""",
 )
 def a7_score_quality(spark, sf):
     parsed = answered(screened_documents(spark, sf))
     entries = parsed.select("cv_id", F.posexplode("ai_scores.scores").alias("pos", "s")).select(
         "cv_id", F.col("pos").cast("long").alias("pos"), F.col("s.requirementId").alias("requirement_id"), "s.score", "s.evidence"
     )
+    unknown = F.when(F.col("pos") == 0, -1 - F.col("cv_id")).otherwise(F.col("cv_id"))  # no such CV, no such requirement
+    entries = entries.unionByName(
+        entries.withColumns({"cv_id": unknown, "pos": F.col("pos") + 100, "requirement_id": F.lit("req_99")})
+    )
     texts = redaction.redact(inputs.document_cvs(spark, sf))
     return inference.score_quality(entries, inputs.corpus_requirements(spark), texts)
 
@@ -259,7 +267,8 @@ def f1_best_scores(spark, sf):
 
 @check(
     "f2_final_score",
-    BASE + "SELECT cv_id, final_score, missing_required, final_tier AS tier FROM verdicts",
+    BASE + """SELECT cv_id, final_score, missing_required, final_tier AS tier FROM verdicts
+    UNION ALL SELECT cv_id, 0, 0, 'no-match' FROM bare""",
 )
 def f2_final_score(spark, sf):
     screened = stored_screening(spark, sf)
@@ -288,7 +297,7 @@ def with_model_columns(screened):
      CASE WHEN c.cv_id IS NULL THEN s.tier ELSE v.final_tier END AS tier, s.elimination_reason, c.model AS ai_model_used,
      round(coalesce(c.cost_usd, 0), 9) AS ai_cost_usd,
      CASE WHEN c.kind IN ('full', 'partial', 'repeat') THEN 'fits' WHEN s.cv_id % 29 = 0 THEN 'old' END AS summary
-    FROM screened s JOIN verdicts v USING (cv_id) LEFT JOIN costed c ON c.cv_id = s.cv_id""",
+    FROM screened s LEFT JOIN verdicts v USING (cv_id) LEFT JOIN costed c ON c.cv_id = s.cv_id""",
 )
 def f3_apply_ai_results(spark, sf):
     screened = stored_screening(spark, sf)

@@ -115,7 +115,9 @@ kw AS (SELECT c.cv_id, c.job_position_id, r.req_pos, r.requirement_id, r.text, r
  coalesce(h.matched, []) AS matched_sentences, coalesce(h.n, 0) AS n,
  CASE WHEN coalesce(h.n, 0) = 0 THEN 0.0::DOUBLE WHEN h.n >= 3 THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END AS score
  FROM {cvs} c JOIN {reqs} r USING (job_position_id)
- LEFT JOIN hits h ON h.cv_id = c.cv_id AND h.requirement_id = r.requirement_id)"""
+ LEFT JOIN hits h ON h.cv_id = c.cv_id AND h.requirement_id = r.requirement_id),
+bare AS (SELECT cv_id, job_position_id FROM {cvs} WHERE job_position_id IS NULL
+ OR job_position_id NOT IN (SELECT job_position_id FROM {reqs}))"""
 
 
 def tier(score: str, missing: str, total: str, great: int, good: int, ratio: str) -> str:
@@ -136,7 +138,8 @@ judged AS (SELECT *, {tier('preliminary_score', 'missing_required', 'total_requi
 screened AS (SELECT *, CASE WHEN tier <> 'no-match' THEN NULL
  WHEN total_required > 0 AND missing_required >= ceil(total_required * 0.6::DOUBLE)
  THEN 'Missing ' || missing_required || ' of ' || total_required || ' required requirements'
- ELSE 'Score too low (' || {one_decimal('preliminary_score')} || '/100)' END AS elimination_reason FROM judged)"""
+ ELSE 'Score too low (' || {one_decimal('preliminary_score')} || '/100)' END AS elimination_reason FROM judged
+ UNION ALL SELECT cv_id, job_position_id, 0.0::DOUBLE, 0, 0, 'no-match', 'Not screened: no requirements' FROM bare)"""
 
 JOBS = """jobs AS (SELECT o_orderkey AS job_position_id, o_custkey AS user_id,
  'Position ' || o_orderpriority AS title,

@@ -160,6 +160,9 @@ JOB_STATUSES = [
     "PROCESSING", "COMPLETED", "FAILED",
 ]
 STALE_MINUTES = 15
+GATE_OK = "ok"
+NO_REQUIREMENTS = "no requirements"
+MALFORMED = "malformed"
 HEARTBEAT_SECONDS = 15
 TIER_RANKS = {"great": 3, "good": 2, "no-match": 1}
 

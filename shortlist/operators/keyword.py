@@ -49,14 +49,19 @@ def _with_patterns(reqs: DataFrame) -> DataFrame:
 
 
 def job_requirements(reqs: DataFrame) -> DataFrame:
-    """One row per job with its ordered requirement list, terms included."""
+    """One row per job with its ordered requirement list, terms included, and `requirement_gate`:
+    malformed when an entry lacks its id, keyword list or synonym list."""
+    broken = F.col("requirement_id").isNull() | F.col("keywords").isNull() | F.col("synonyms").isNull()
     item = F.struct(
         "req_pos", "requirement_id", "text", "weight", "is_required", "needles"
     )
     return (
         _with_patterns(reqs)
         .groupBy("job_position_id")
-        .agg(F.array_sort(F.collect_list(item)).alias("requirements"))
+        .agg(
+            F.array_sort(F.collect_list(item)).alias("requirements"),
+            F.when(F.bool_or(broken), fixed.MALFORMED).otherwise(fixed.GATE_OK).alias("requirement_gate"),
+        )
     )
 
 
@@ -90,7 +95,8 @@ def collect_matches(hits: DataFrame) -> DataFrame:
 
 
 def score_requirements(cvs: DataFrame, reqs: DataFrame) -> DataFrame:
-    """Add `scored`: per requirement, in list order, its matched sentences and raw score.
+    """Add `scored`: per requirement, in list order, its matched sentences and raw score; and
+    `requirement_gate`: ok, or why the job's list cannot be used (then `scored` is empty).
 
     Terms absent from the whole document are dropped with one substring test each before the
     sentence loop. Normalised sentences are computed below the join, once per CV.
@@ -102,8 +108,12 @@ def score_requirements(cvs: DataFrame, reqs: DataFrame) -> DataFrame:
         "_all", F.array_join(F.transform("_pairs", lambda p: p["norm"]), "\n")
     )
     joined = salted_lookup(
-        prepared, job_requirements(reqs), ["job_position_id"], ["cv_id"], bounded_by=reqs
+        prepared, job_requirements(reqs), ["job_position_id"], ["cv_id"], "left", bounded_by=reqs
     )
+    gate = F.coalesce("requirement_gate", F.lit(fixed.NO_REQUIREMENTS))
+    none = F.array().cast(joined.schema["requirements"].dataType)
+    usable = F.when(gate == fixed.GATE_OK, F.col("requirements")).otherwise(none)
+    joined = joined.withColumns({"requirement_gate": gate, "requirements": usable})
 
     def live(r: Column) -> Column:
         return r.withField(
@@ -155,7 +165,8 @@ def keyword_scores_map(scored: Column) -> Column:
 
 
 def judge(scored: DataFrame) -> DataFrame:
-    """Score, missing count, tier and reason from the `scored` column."""
+    """Score, missing count, tier and reason from `scored` and `requirement_gate`. Without a usable
+    requirement list the score is 0, the tier no-match, and the reason says so."""
     counted = scored.select(
         "*",
         weighted_score_of(F.col("scored")).alias("preliminary_score"),
@@ -166,15 +177,19 @@ def judge(scored: DataFrame) -> DataFrame:
     tiered = counted.withColumn("tier", assign_tier(*facts, fixed.KEYWORD_THRESHOLDS))
     return tiered.withColumn(
         "elimination_reason",
-        elimination_reason(
-            F.col("tier"), F.col("missing_required"), F.col("total_required"), F.col("preliminary_score")
+        F.when(
+            F.col("requirement_gate") != fixed.GATE_OK, F.concat(F.lit("Not screened: "), "requirement_gate")
+        ).otherwise(
+            elimination_reason(
+                F.col("tier"), F.col("missing_required"), F.col("total_required"), F.col("preliminary_score")
+            )
         ),
     )
 
 
 def keyword_filter(cvs: DataFrame, reqs: DataFrame) -> DataFrame:
-    """Whole keyword stage over (cv_id, job_position_id, sentences, ...). CVs of jobs without
-    requirements are not part of a run and do not appear."""
+    """Whole keyword stage over (cv_id, job_position_id, sentences, ...). Every CV gets a verdict, those
+    of jobs without a usable requirement list included."""
     return judge(score_requirements(cvs, reqs))
 
 

@@ -154,12 +154,14 @@ def rescore(cvs: DataFrame, sentences: DataFrame, reqs: DataFrame) -> DataFrame:
     """Keyword stage again after a requirement edit, on the stored sentences (cv_id,
     job_position_id, sentences) kept apart from the CV rows.
 
-    Model columns are cleared and manual tiers are lost; failed rows stay as they are. Other CVs
-    of jobs without requirements are not part of a run and drop out. The sentences are read once
+    Model columns are cleared and manual tiers are lost; failed rows stay as they are, and so do all
+    CVs of jobs without a usable list in `reqs`: they are not part of the run. The sentences are read once
     and matched in place; only narrow verdicts meet the CV rows. Continue with the gate and the
     final stage.
     """
-    verdicts = judge(score_requirements(sentences.select("cv_id", JOB, "sentences"), reqs))
+    verdicts = judge(score_requirements(sentences.select("cv_id", JOB, "sentences"), reqs)).where(
+        F.col("requirement_gate") == fixed.GATE_OK
+    )
     fresh = {
         "tier": F.col("_new.tier"),
         "elimination_reason": F.col("_new.elimination_reason"),
@@ -172,11 +174,11 @@ def rescore(cvs: DataFrame, sentences: DataFrame, reqs: DataFrame) -> DataFrame:
     }
     new = F.struct("tier", "elimination_reason", "preliminary_score", "scored").alias("_new")
     joined = cvs.join(verdicts.select("cv_id", new), "cv_id", "left")
-    failed = F.col("parsing_confidence") == "failed"
+    stays = F.coalesce(F.col("parsing_confidence") == "failed", F.lit(False)) | F.col("_new").isNull()
     types = dict(cvs.dtypes)
-    return joined.where(failed | F.col("_new").isNotNull()).select(
+    return joined.select(
         *[
-            F.when(failed, F.col(c)).otherwise(fresh[c].cast(types[c])).alias(c) if c in fresh else F.col(c)
+            F.when(stays, F.col(c)).otherwise(fresh[c].cast(types[c])).alias(c) if c in fresh else F.col(c)
             for c in cvs.columns
         ]
     )

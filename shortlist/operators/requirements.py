@@ -45,9 +45,9 @@ def gate_requirements(jobs: DataFrame) -> DataFrame:
     )
     indexed = parsed.withColumn("bad_index", F.array_min(bad))
     verdict = (
-        F.when(F.coalesce(F.size("_entries"), F.lit(0)) <= 0, "no requirements")
-        .when(F.col("bad_index").isNotNull(), "malformed")
-        .otherwise("ok")
+        F.when(F.coalesce(F.size("_entries"), F.lit(0)) <= 0, fixed.NO_REQUIREMENTS)
+        .when(F.col("bad_index").isNotNull(), fixed.MALFORMED)
+        .otherwise(fixed.GATE_OK)
     )
     return indexed.withColumn("verdict", verdict).drop("_entries")
 

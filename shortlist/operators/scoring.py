@@ -19,7 +19,7 @@ def raw_score(count: Column) -> Column:
 
 def effective_weight(weight: Column, is_required: Column) -> Column:
     factor = F.when(is_required, F.lit(fixed.REQUIRED_WEIGHT_MULTIPLIER)).otherwise(F.lit(1.0))
-    return weight.cast("double") * factor
+    return F.coalesce(weight.cast("double"), F.lit(0.0)) * factor  # an entry without a weight counts nothing
 
 
 def weighted_score_of(scored: Column) -> Column:

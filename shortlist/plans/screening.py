@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from shortlist import schemas
-from shortlist.cluster import cut_lineage
+from shortlist.cluster import cut_lineage, salted_lookup
 from shortlist.functions import fixed
 from shortlist.functions.redaction import redact
 from shortlist.operators import corpus, inference, keyword, lifecycle, parsing
@@ -31,7 +31,8 @@ def screen_texts(texts: DataFrame, reqs: DataFrame) -> DataFrame:
     """Everything before the model: route, classify, enrich, redact, match.
 
     Takes (cv_id, job_position_id, original_filename, mime_type, raw_text) and optionally
-    `read_error`; returns one CV row per input row of a job with requirements. One narrow pass
+    `read_error`; returns one CV row per input row; a job without a usable requirement list gives its
+    CVs that verdict. One narrow pass
     over the texts: the only join looks up the job's requirement list. A failed file goes along
     with its text blanked and gets its own verdict at the end, so it costs no second scan.
     """
@@ -84,19 +85,26 @@ def screen(texts: DataFrame, reqs: DataFrame, client, **call_options) -> Screeni
 
 
 def rescore(cvs: DataFrame, texts: DataFrame, reqs: DataFrame, client, **call_options) -> Screening:
-    """Keyword and model stages again on what `screen` returned, after a requirement edit."""
-    fresh = cut_lineage(lifecycle.rescore(cvs, texts, reqs))
-    passed = inference.gate_candidates(fresh).select("cv_id", "tier", "scored")
+    """Keyword and model stages again on what `screen` returned, after a requirement edit. CVs of jobs
+    without a usable list in `reqs` come back as they were; totals are those of the jobs rescored."""
+    usable = keyword.job_requirements(reqs).where(F.col("requirement_gate") == fixed.GATE_OK)
+    run = usable.select("job_position_id", F.lit(True).alias("_run"))
+    again = lifecycle.rescore(cvs, texts, reqs)
+    fresh = cut_lineage(salted_lookup(again, run, ["job_position_id"], ["cv_id"], "left", bounded_by=reqs))
+    part = fresh.where("_run").drop("_run").select(*cvs.columns)
+    rest = fresh.where(F.col("_run").isNull()).select(*cvs.columns)
+    passed = inference.gate_candidates(part).select("cv_id", "tier", "scored")
     candidates = texts.join(passed, "cv_id")
-    updated, totals = score_candidates(fresh, candidates, client, **call_options)
-    return Screening(updated, totals, texts)
+    updated, totals = score_candidates(part, candidates, client, **call_options)
+    return Screening(updated.unionByName(rest), totals, texts)
 
 
 def generate_corpus(
     requests: DataFrame, jobs: DataFrame, reqs: DataFrame, client, current_year: int, **call_options
 ) -> tuple[DataFrame, DataFrame]:
     """Generate CVs by quality mix and screen them up to the gate: (CV rows, shortfall per job).
-    A failed call leaves its CV out and shows in the shortfall."""
+    A failed call leaves its CV out and shows in the shortfall, and so do the CVs refused because their
+    job has no title or requirements."""
     wanted, _ = corpus.allocate_mix(requests)
     prompts = corpus.generation_prompts(wanted, jobs, reqs)
     call_options.setdefault("concurrency", fixed.GENERATIONS_IN_FLIGHT)
@@ -113,10 +121,12 @@ def generate_corpus(
         F.lit(fixed.MIME_BY_FORMAT["txt"]).alias("mime_type"),
         corpus.render_text(F.col("content")).alias("raw_text"),
     ))
-    shortfall = inference.estimate_cost(answers).groupBy("job_position_id").agg(
-        F.count(F.lit(1)).alias("requested"),
+    called = inference.estimate_cost(answers).groupBy("job_position_id").agg(
         F.count_if(F.col("error").isNull()).alias("produced"),
         F.count_if(F.col("error").isNotNull()).alias("failed"),
         F.sum("cost_usd").alias("generation_cost_usd"),
     )
+    asked = wanted.groupBy("job_position_id").agg(F.count(F.lit(1)).alias("requested"))
+    shortfall = asked.join(called, "job_position_id", "left").na.fill(0, ["produced", "failed", "generation_cost_usd"])
+    shortfall = shortfall.withColumn("refused", F.expr("requested - produced - failed"))
     return screen_texts(texts, reqs), shortfall

@@ -28,10 +28,9 @@ def assemble_pages(items: DataFrame) -> DataFrame:
         F.col("height"),
         F.coalesce("has_eol", F.lit(False)).alias("has_eol"),
     )
-    pages = (
-        items.where(F.col("str").isNotNull())
-        .groupBy("doc_id", "page")
-        .agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    # a page whose items are all null keeps its place as an empty text
+    pages = items.groupBy("doc_id", "page").agg(
+        F.array_sort(F.collect_list(F.when(F.col("str").isNotNull(), item))).alias("_items")
     )
     start = F.struct(
         F.array().cast("array<string>").alias("parts"),

@@ -198,17 +198,20 @@ SAMPLE = 3
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
 ALL_PAIRS = 24  # a posting list up to this length yields all its pairs (a bounded number per text)
+# (samples, shingles in each) for texts of longer lists that are not yet one group. Larger samples split
+# such lists; their number keeps the chance that a pair at 0.8 has none in common under 1 in 1,000.
+DEEPER = [(32, 6), (120, 12)]
 
-_ODD = np.random.default_rng(64).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(64).integers(1, 1 << 63, DEEPER[-1][0], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sample_fingerprints(hashes: np.ndarray) -> list[int]:
+def sample_fingerprints(hashes: np.ndarray, samples: int = SAMPLES, sample: int = SAMPLE) -> list[int]:
     out = []
-    for odd in _ODD:
+    for odd in _ODD[:samples]:
         mixed = hashes * odd
         mixed ^= mixed >> np.uint64(31)
-        if len(mixed) > SAMPLE:
-            mixed = np.partition(mixed, SAMPLE - 1)[:SAMPLE]
+        if len(mixed) > sample:
+            mixed = np.partition(mixed, sample - 1)[:sample]
         out.append(int(np.array(fingerprint(mixed), np.uint64).view(np.int64)))
     return out
 
@@ -253,7 +256,8 @@ def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
 
 def _list_pairs(postings: DataFrame) -> DataFrame:
     """(a, b) from posting lists (key, th): all pairs of short lists; of long ones the first with each.
-    Long lists are never gathered. Lists keyed by two samples split what one sample leaves long."""
+    Long lists are never gathered. Lists keyed by two samples split what one sample leaves long, and
+    larger samples what is then not yet one group."""
     sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("th").alias("first")).where("k > 1")
     short = sizes.where(F.col("k") <= ALL_PAIRS).select("key")
     lists = postings.join(short, "key").groupBy("key").agg(F.sort_array(F.collect_set("th")).alias("m"))
@@ -262,6 +266,42 @@ def _list_pairs(postings: DataFrame) -> DataFrame:
     return pairs.unionByName(long.select(F.col("first").alias("a"), F.col("th").alias("b")))
 
 
+def _classed(postings: DataFrame, groups: DataFrame) -> DataFrame:
+    """The postings of lists whose texts are not yet in one group, with the group of each text."""
+    placed = postings.join(groups, postings["th"] == groups["node"], "left").select("key", "th", F.coalesce("component", "th").alias("c"))
+    apart = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    return placed.join(apart, "key")
+
+
+def _open_texts(postings: DataFrame, groups: DataFrame) -> DataFrame:
+    """(th) of the texts in long lists that are not yet one group."""
+    long = postings.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > ALL_PAIRS).select("key")
+    return _classed(postings.join(long, "key"), groups).select("th").distinct()
+
+
+def _deeper_postings(sets: DataFrame, samples: int, sample: int) -> DataFrame:
+    """(key, th) of larger samples of the given shingle sets."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [np.array(s.as_py(), np.int32).view(np.uint32).astype(np.uint64) for s in batch.column(1)]
+            found = [sample_fingerprints(r, samples, sample) if len(r) else [0] * samples for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["th", "samples"])
+
+    drawn = sets.select("th", "shingles").mapInArrow(run, "th long, samples array<long>")
+    return drawn.select(F.posexplode("samples").alias("i", "s"), "th").select(F.xxhash64(F.lit(sample), "i", "s").alias("key"), "th")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets reach the similarity."""
+    both = (
+        pairs.join(sets.select(F.col("th").alias("b"), F.col("shingles").alias("sb")), "b")
+        .join(sets.select(F.col("th").alias("a"), F.col("shingles").alias("sa")), "a")
+    )
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without all but one (the smallest doc_id, null last) of each group of near copies.
 
@@ -289,13 +329,21 @@ def drop_near_duplicates(docs: DataFrame, size: int = NEAR_SHINGLE, similarity:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash().alias("th"))
     texts = keyed.join(firsts, "th").where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("th", "text")
     sets = cut_lineage(_shingle_sets(texts, size).groupBy("th").agg(F.first("shingles").alias("shingles")))
-    both = (
-        pairs.join(sets.select(F.col("th").alias("b"), F.col("shingles").alias("sb")), "b")
-        .join(sets.select(F.col("th").alias("a"), F.col("shingles").alias("sa")), "a")
-    )
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    groups = connected_components(alike)
+    alike = cut_lineage(_alike(pairs, sets, similarity))
+    groups = cut_lineage(connected_components(alike))
+    for samples, sample in DEEPER:
+        left_open = cut_lineage(_open_texts(postings, groups))
+        if left_open.isEmpty():
+            break
+        postings = cut_lineage(_deeper_postings(sets.join(left_open, "th"), samples, sample))
+        fresh = _list_pairs(_classed(postings, groups).select("key", "th")).distinct()
+        of = {x: groups.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"}
+        apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+        fresh = fresh.join(of["a"], "a", "left").join(of["b"], "b", "left").where(apart).select("a", "b")
+        fresh = cut_lineage(fresh.join(pairs, ["a", "b"], "left_anti"))
+        pairs = pairs.unionByName(fresh)
+        alike = cut_lineage(alike.unionByName(_alike(fresh, sets, similarity)))
+        groups = cut_lineage(connected_components(alike))
     members = nodes.join(groups, nodes["th"] == groups["node"]).select("th", "first", "component")
     best = members.groupBy("component").agg(F.min(F.struct("first", "th")).alias("best"))
     losers = members.join(best, "component").where(F.col("th") != F.col("best.th")).select("th")

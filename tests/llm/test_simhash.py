@@ -79,3 +79,28 @@ def test_lists_short_and_long(size):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_near_copies_inside_a_large_template_group(spark):
+    """Every text shares six sevenths of its words, so sample lists are long; only planted pairs are near copies."""
+    rng = random.Random(8)
+    base = [f"t{k}" for k in range(120)]
+    rows = []
+    for k in range(240):
+        own = [f"u{k}x{j}" for j in range(20)]
+        rows.append((10 * k, " ".join(base + own)))
+        if k % 3 == 0:
+            copy = base + own
+            for place in (10 + rng.randrange(20), 50 + rng.randrange(20), 90 + rng.randrange(20)):
+                copy[place] = f"c{k}x{place}"
+            rows.append((10 * k + 1, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    sets = {d: shingles(t) for d, t in rows}
+    near = {d: {e for e in sets if e < d and len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e])} for d in sets}
+    assert kept == {d for d in sets if not near[d]} == {10 * k for k in range(240)}

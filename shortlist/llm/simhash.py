@@ -254,33 +254,45 @@ def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "th long, shingles array<int>")
 
 
-def _list_pairs(postings: DataFrame) -> DataFrame:
-    """(a, b) from posting lists (key, th): all pairs of short lists; of long ones the first with each.
-    Long lists are never gathered. Lists keyed by two samples split what one sample leaves long, and
-    larger samples what is then not yet one group."""
-    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("th").alias("first")).where("k > 1")
-    short = sizes.where(F.col("k") <= ALL_PAIRS).select("key")
-    lists = postings.join(short, "key").groupBy("key").agg(F.sort_array(F.collect_set("th")).alias("m"))
-    pairs = lists.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, ALL_PAIRS)).alias("b"))
-    long = postings.join(sizes.where(F.col("k") > ALL_PAIRS).select("key", "first"), "key").where(F.col("th") != F.col("first"))
-    return pairs.unionByName(long.select(F.col("first").alias("a"), F.col("th").alias("b")))
-
-
-def _classed(postings: DataFrame, groups: DataFrame) -> DataFrame:
-    """The postings of lists whose texts are not yet in one group, with the group of each text."""
-    placed = postings.join(groups, postings["th"] == groups["node"], "left").select("key", "th", F.coalesce("component", "th").alias("c"))
-    apart = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    return placed.join(apart, "key")
+def _postings(drawn: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """(key, th, c) of the lists each text (th, keys) is in, c being its group so far. The group is looked
+    up before the keys are opened, so that look-up moves texts and not postings."""
+    if groups is None:
+        return drawn.select(F.explode("keys").alias("key"), "th", F.col("th").alias("c"))
+    placed = drawn.join(groups, drawn["th"] == groups["node"], "left")
+    return placed.select(F.explode("keys").alias("key"), "th", F.coalesce("component", "th").alias("c"))
+
+
+def _open_lists(postings: DataFrame) -> DataFrame:
+    """(key, k, first) of the lists whose texts are not yet one group: their length and first text."""
+    lists = postings.groupBy("key").agg(
+        F.count(F.lit(1)).alias("k"), F.min(F.struct("th", "c")).alias("first"), F.min("c").alias("low"), F.max("c").alias("high")
+    )
+    return lists.where("low < high").select("key", "k", "first")
 
 
-def _open_texts(postings: DataFrame, groups: DataFrame) -> DataFrame:
+def _list_pairs(postings: DataFrame) -> DataFrame:
+    """(a, b) of different groups from posting lists (key, th, c): all such pairs of short lists; of long
+    ones the first with each. Long lists are never gathered. Lists keyed by two samples split what one
+    sample leaves long, and larger samples what is then not yet one group."""
+    lists = _open_lists(postings)
+    lists = lists.select("key", "k", F.col("first.th").alias("first"), F.col("first.c").alias("of"))
+    short = postings.join(lists.where(F.col("k") <= ALL_PAIRS).select("key"), "key")
+    held = short.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("th", "c"))).alias("m"))
+    rest = F.filter(F.slice("m", F.col("i") + 2, ALL_PAIRS), lambda x: x["c"] != F.col("one.c"))
+    each = held.select(F.posexplode("m").alias("i", "one"), "m").select(F.col("one.th").alias("a"), F.explode(rest["th"]).alias("b"))
+    long = postings.join(lists.where(F.col("k") > ALL_PAIRS).drop("k"), "key").where(F.col("c") != F.col("of"))
+    return each.unionByName(long.select(F.col("first").alias("a"), F.col("th").alias("b")))
+
+
+def _open_texts(postings: DataFrame) -> DataFrame:
     """(th) of the texts in long lists that are not yet one group."""
-    long = postings.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > ALL_PAIRS).select("key")
-    return _classed(postings.join(long, "key"), groups).select("th").distinct()
+    long = _open_lists(postings).where(F.col("k") > ALL_PAIRS).select("key")
+    return postings.join(long, "key").select("th").distinct()
 
 
-def _deeper_postings(sets: DataFrame, samples: int, sample: int) -> DataFrame:
-    """(key, th) of larger samples of the given shingle sets."""
+def _deeper_lists(sets: DataFrame, samples: int, sample: int) -> DataFrame:
+    """(th, keys) of larger samples of the given shingle sets."""
 
     def run(batches):
         for batch in batches:
@@ -289,7 +301,7 @@ def _deeper_postings(sets: DataFrame, samples: int, sample: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["th", "samples"])
 
     drawn = sets.select("th", "shingles").mapInArrow(run, "th long, samples array<long>")
-    return drawn.select(F.posexplode("samples").alias("i", "s"), "th").select(F.xxhash64(F.lit(sample), "i", "s").alias("key"), "th")
+    return drawn.select("th", F.transform("samples", lambda s, i: F.xxhash64(F.lit(sample), i, s)).alias("keys"))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -317,13 +329,12 @@ def drop_near_duplicates(docs: DataFrame, size: int = NEAR_SHINGLE, similarity:
     distinct = nodes.select("fp").distinct()
     links = fingerprint_links(distinct, nodes.count())
     roots = connected_components(links)
-    whole = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(F.xxhash64(F.lit(-1), F.coalesce("component", "fp")).alias("key"), "th")
-    sampled = nodes.select(F.posexplode("samples").alias("i", "s"), "th", "samples")
-    following = F.get("samples", (F.col("i") + 1) % SAMPLES)
-    single = sampled.select(F.xxhash64("i", "s").alias("key"), "th")
-    double = sampled.select(F.xxhash64("i", "s", following).alias("key"), "th")
-    postings = cut_lineage(whole.unionByName(single).unionByName(double))
-    pairs = cut_lineage(_list_pairs(postings).distinct())
+    whole = F.array(F.xxhash64(F.lit(-1), F.coalesce("component", "fp")))
+    single = F.transform("samples", lambda s, i: F.xxhash64(i, s))
+    double = F.transform("samples", lambda s, i: F.xxhash64(i, s, F.get("samples", (i + 1) % SAMPLES)))
+    drawn = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("th", F.concat(whole, single, double).alias("keys"))
+    drawn = cut_lineage(drawn)
+    pairs = cut_lineage(_list_pairs(_postings(drawn, None)).distinct())
     wanted = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
     firsts = nodes.join(wanted, "th").select("th", F.col("first.doc_id").alias("_id"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash().alias("th"))
@@ -332,14 +343,11 @@ def drop_near_duplicates(docs: DataFrame, size: int = NEAR_SHINGLE, similarity:
     alike = cut_lineage(_alike(pairs, sets, similarity))
     groups = cut_lineage(connected_components(alike))
     for samples, sample in DEEPER:
-        left_open = cut_lineage(_open_texts(postings, groups))
+        left_open = cut_lineage(_open_texts(_postings(drawn, groups)))
         if left_open.isEmpty():
             break
-        postings = cut_lineage(_deeper_postings(sets.join(left_open, "th"), samples, sample))
-        fresh = _list_pairs(_classed(postings, groups).select("key", "th")).distinct()
-        of = {x: groups.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"}
-        apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-        fresh = fresh.join(of["a"], "a", "left").join(of["b"], "b", "left").where(apart).select("a", "b")
+        drawn = cut_lineage(_deeper_lists(sets.join(left_open, "th"), samples, sample))
+        fresh = _list_pairs(_postings(drawn, groups)).distinct()
         fresh = cut_lineage(fresh.join(pairs, ["a", "b"], "left_anti"))
         pairs = pairs.unionByName(fresh)
         alike = cut_lineage(alike.unionByName(_alike(fresh, sets, similarity)))

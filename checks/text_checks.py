@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import inputs, sql
 from checks.registry import check
 from shortlist.cluster import distributed_row_number, spread
-from shortlist.functions import entities, redaction
+from shortlist.functions import entities, fixed, redaction
 from shortlist.functions.text import js_trim
 from shortlist.operators import parsing
 from shortlist.sources import files, layout, tables
@@ -103,16 +103,11 @@ def r8_redact(spark, sf):
 
 # --- parsing ----------------------------------------------------------------
 
-HEADERS = {
-    "experience": ["(?:work[~]+)?(?:professional[~]+)?experience", "employment(?:[~]+history)?", "work[~]+history"],
-    "skills": ["(?:technical[~]+|core[~]+)?skills", "technologies", "(?:tech[~]+)?stack", "competencies"],
-    "education": ["education", "academic(?:[~]+background)?", "degrees?", "qualifications?"],
-    "summary": ["summary", "about(?:[~]+me)?", "profile", "objective"],
-}
+HEADERS = fixed.SECTION_HEADERS
 
 
 def _position_sql(header):
-    pattern = rf"(?i)(?:^|\n)[{B}]*" + header.replace("~", B) + r"\b"
+    pattern = rf"(?i)(?:^|\n)[{B}]*" + header.replace("~s", f"[{B}]").replace("~>", r"\b")
     return f"CASE WHEN regexp_matches(raw_text, '{pattern}') THEN length(regexp_split_to_array(raw_text, '{pattern}')[1]) END"
 
 
@@ -270,17 +265,9 @@ def p6_years_of_experience(spark, sf):
     )
 
 
-TECHS = (
-    "javascript,typescript,python,java,go,rust,c++,c#,ruby,php,kotlin,swift,react,vue,angular,svelte,next.js,nuxt,"
-    "node.js,nodejs,express,nestjs,django,flask,spring,rails,fastapi,kubernetes,k8s,docker,terraform,ansible,jenkins,"
-    "gitlab ci,github actions,circleci,aws,gcp,azure,amazon web services,google cloud,postgres,postgresql,mysql,"
-    "mongodb,redis,elasticsearch,dynamodb,cassandra,graphql,rest,grpc,kafka,rabbitmq"
-).split(",")
-
-
 def _tech_sql():
     hits = []
-    for term in TECHS:
+    for term in fixed.TECHNOLOGIES:
         literal = term.replace(".", r"\.").replace("+", r"\+")
         hits.append(rf"CASE WHEN regexp_matches(lower(raw_text), '\b{literal}\b') THEN '{term}' END")
     return f"[t FOR t IN [{', '.join(hits)}] IF t IS NOT NULL]"

@@ -34,9 +34,9 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences."""
+    """Packs what is left into sequences, with their token ids."""
     set_batches(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, keep_ids=True)
 
 
 STAGES = [

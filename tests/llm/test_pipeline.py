@@ -1,7 +1,9 @@
 """The pipeline's stages and their edge cases, against brute force where a stage has one."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -94,3 +96,11 @@ def test_pipeline_runs(spark, sf_dir):
     for r in pieces:
         totals[r.doc_id] = totals.get(r.doc_id, 0) + r.length
     assert all(totals[r.doc_id] == r.doc_tokens for r in pieces)
+
+
+def test_pipeline_writes_the_ids(spark, sf_dir):
+    docs = spark.createDataFrame([(1, prose(1500)), (2, prose(30)), (3, None)], "doc_id long, text string")
+    pieces = corpus_pipeline.pack_sequences(spark, docs, sf_dir).collect()
+    assert {r.doc_id for r in pieces} == {1, 2, 3}
+    for r in pieces:
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from shortlist.llm.common import blocks, cut_lineage, ids_and_texts, read, starts_of
 from shortlist.llm.components import connected_components
+from shortlist.llm.pairs import cross_pairs
 from shortlist.llm.registry import query
 
 SHINGLE = 3
@@ -199,7 +200,8 @@ NEAR_SHINGLE = 5
 SIMILARITY = 0.8
 ALL_PAIRS = 24  # a posting list up to this length yields all its pairs (a bounded number per text)
 # (samples, shingles in each) for texts of longer lists that are not yet one group. Larger samples split
-# such lists; their number keeps the chance that a pair at 0.8 has none in common under 1 in 1,000.
+# such lists; their number keeps the chance that a pair at 0.8 has none in common under 1 in 1,000. Lists still
+# long at the last level are finished exactly.
 DEEPER = [(32, 6), (120, 12)]
 
 _ODD = np.random.default_rng(64).integers(1, 1 << 63, DEEPER[-1][0], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -314,6 +316,21 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _prefixes(sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """(key, th, label) of each text's rarest shingles, one more than two similar texts can differ in.
+
+    Shingles are ordered by their texts among the given ones, then by hash, so of two texts at the similarity
+    or more the prefixes have a shingle in common.
+    """
+    held = cut_lineage(sets.select("th", F.size("shingles").alias("n"), F.explode("shingles").alias("key")))
+    counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
+    ordered = held.join(counts, "key").groupBy("th", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "key"))).alias("m"))
+    length = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int")
+    rare = ordered.select("th", F.slice("m", F.lit(1), length).alias("m"))
+    placed = rare.join(groups, rare["th"] == groups["node"], "left")
+    return placed.select(F.explode("m.key").alias("key"), "th", F.coalesce("component", "th").alias("label"))
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without all but one (the smallest doc_id, null last) of each group of near copies.
 
@@ -352,6 +369,15 @@ def drop_near_duplicates(docs: DataFrame, size: int = NEAR_SHINGLE, similarity:
         pairs = pairs.unionByName(fresh)
         alike = cut_lineage(alike.unionByName(_alike(fresh, sets, similarity)))
         groups = cut_lineage(connected_components(alike))
+    # what is in a long list of the last level and not one group is compared by rarest shingles, whole lists
+    left_open = cut_lineage(_open_texts(_postings(drawn, groups)))
+    if not left_open.isEmpty():
+        rare = cut_lineage(_prefixes(sets.join(left_open, "th"), groups, similarity))
+        pairs = cut_lineage(pairs)
+        for batch in cross_pairs(rare):
+            fresh = cut_lineage(batch.join(pairs, ["a", "b"], "left_anti"))
+            alike = cut_lineage(alike.unionByName(_alike(fresh, sets, similarity)))
+        groups = cut_lineage(connected_components(alike))
     members = nodes.join(groups, nodes["th"] == groups["node"]).select("th", "first", "component")
     best = members.groupBy("component").agg(F.min(F.struct("first", "th")).alias("best"))
     losers = members.join(best, "component").where(F.col("th") != F.col("best.th")).select("th")

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -104,3 +105,16 @@ def test_pipeline_writes_the_ids(spark, sf_dir):
     assert {r.doc_id for r in pieces} == {1, 2, 3}
     for r in pieces:
         assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+
+
+def test_line_rule_equals_its_sql_where_lines_go(spark):
+    """The registered SQL with limits that take lines out on sf0.01, where its own limits take none."""
+    sf = "/root/testdata/sf0.01"
+    sql = quality._SQL.replace("n >= 50 AND n > 0.05 *", "n >= 4 AND n > 0.01 *")
+    assert sql != quality._SQL
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+        wanted = db.execute(sql).fetchall()
+    found = quality.quality_report(spark.read.parquet(f"{sf}/documents.parquet"), min_docs=4, max_share=0.01)
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    assert sum(r[-1] > 0 for r in wanted) > 20

@@ -4,6 +4,7 @@ from shortlist.llm import (  # noqa: F401
     chat,
     decontaminate,
     licenses,
+    mixing,
     packing,
     ppm,
     quality,

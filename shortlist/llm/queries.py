@@ -11,6 +11,7 @@ from shortlist.llm import (  # noqa: F401
     simhash,
     suffix_dedup,
     token_files,
+    trie,
     windows,
 )
 from shortlist.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -10,20 +10,25 @@ from __future__ import annotations
 
 from array import array
 
+import numpy as np
 import public_tokenizers
 
 from shortlist.llm.common import worker_cache
 
 VOCABULARY = "byte_bpe_50k.json"
 CACHE_BYTES = 128 << 20  # of a worker's remembered units; beyond it only units met again are kept
+AT_ONCE = 5000  # new units that are encoded as one text, a line end between any two
 _SPECIAL = "<|endoftext|>"
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
+        """With `plain_specials` the strings of special tokens are ordinary text."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain_specials
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -31,31 +36,47 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, four bytes each."""
+    def units(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit. A line end between units is a token of its own, so they are encoded as one
+        text and cut there; where that gives another number of pieces, they are encoded one by one."""
+        if len(self.line_end) != 1 or "\n" in units or len(units) < 2:
+            return self.whole(units)
+        ids = np.array(self.tokenizer.encode("\n".join(units), add_special_tokens=False).ids, np.uint32)
+        cuts = np.flatnonzero(ids == self.line_end[0])
+        if len(cuts) != len(units) - 1:
+            return self.whole(units)
+        data = ids.tobytes()
+        starts = [0, *((cuts + 1) * 4).tolist()]
+        ends = [*(cuts * 4).tolist(), len(data)]
+        return [data[a:b] for a, b in zip(starts, ends)]
+
+    def encode(self, texts: list[str], led: bool = False) -> list[bytes]:
+        """The ids of each text, four bytes each; `led` puts a space before every text."""
         out: list[bytes | None] = [None] * len(texts)
         split, plain, missing = [], [], set()
         for at, text in enumerate(texts):
             units = units_of(text)
-            if units is None:
+            if units is None or (led and not units):
                 plain.append(at)
             else:
+                if led:
+                    units[0] = " " + units[0]
                 split.append((at, units))
                 missing.update(units)
         again = missing & self.known.keys() if self.held > CACHE_BYTES // 2 else ()
         missing.difference_update(self.known)
         if missing:
-            fresh = list(missing)
-            for first in range(0, len(fresh), 20_000):
-                part = fresh[first : first + 20_000]
-                for unit, ids in zip(part, self.whole(part)):
+            fresh = [u for u in missing if u != "\n"]
+            parts = [fresh[first : first + AT_ONCE] for first in range(0, len(fresh), AT_ONCE)]
+            for part in [*parts, *[["\n"]] * ("\n" in missing)]:
+                for unit, ids in zip(part, self.units(part)):
                     self.known[unit] = ids
                     self.held += len(unit) + len(ids) + 200
         known = self.known
         for at, units in split:
             out[at] = b"".join([known[u] for u in units])
         for at in plain:
-            out[at] = self.whole([texts[at]])[0]
+            out[at] = self.whole([" " + texts[at] if led else texts[at]])[0]
         if self.held > CACHE_BYTES:
             self.known = {u: known[u] for u in again}
             self.held = sum(len(u) + len(ids) + 200 for u, ids in self.known.items())
@@ -76,12 +97,13 @@ def units_of(text: str) -> list[str] | None:
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
-def encoder(vocabulary: str = VOCABULARY) -> Encoder:
+def encoder(vocabulary: str = VOCABULARY, plain_specials: bool = False) -> Encoder:
     """The worker's encoder of this vocabulary file; the file is looked up on the executor."""
     cache = worker_cache("encoders")
-    if vocabulary not in cache:
+    key = (vocabulary, plain_specials)
+    if key not in cache:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        cache[vocabulary] = Encoder(public_tokenizers.path(vocabulary))
-    return cache[vocabulary]
+        cache[key] = Encoder(public_tokenizers.path(vocabulary), plain_specials)
+    return cache[key]

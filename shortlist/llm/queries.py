@@ -1,6 +1,7 @@
 """All queries of this subpackage."""
 
 from shortlist.llm import (  # noqa: F401
+    alignment,
     chat,
     decontaminate,
     licenses,

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from shortlist.llm.common import cut_lineage, ids_and_texts, read, worker_cache
+from shortlist.llm.common import cut_lineage, ids_and_texts, read, set_batches, worker_cache
 from shortlist.llm.registry import query
 from shortlist.llm.tokens import encoder
 
@@ -234,5 +234,7 @@ def with_counts(aligned: DataFrame, counts: DataFrame, bound: int) -> DataFrame:
 
 @query("op12_token_alignment")
 def op12_token_alignment(spark, sf_dir):
-    aligned = cut_lineage(align(read(spark, sf_dir, "documents")))
+    docs = read(spark, sf_dir, "documents")
+    set_batches(spark, 500, "2m")  # a token takes about 150 bytes of tables while its batch is aligned
+    aligned = cut_lineage(align(docs))
     return with_counts(aligned, pair_counts(aligned), pair_bound())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shortlist.cluster import spread
 from shortlist.functions.text import split_sentences
@@ -51,6 +51,25 @@ def corpus_requirements(spark: SparkSession) -> DataFrame:
     ).withColumn("synonyms", F.col("synonyms").cast("array<string>"))
 
 
+def long_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A requirement per document for its language's job, with terms from the document's own text: its
+    first words, their pair, a word with its mark, and marks alone, so that lists grow with the table."""
+    word = F.split(F.regexp_replace(F.trim("raw_text"), r"\s+", " "), " ")
+    pair = F.concat_ws(" ", F.get(word, F.lit(0)), F.get(word, F.lit(1)))
+    place = (F.row_number().over(Window.partitionBy("job_position_id").orderBy("cv_id")) - 1).cast("int")
+    return document_cvs(spark, sf_dir).where("raw_text is not null").select(
+        "job_position_id",
+        place.alias("req_pos"),
+        F.concat(F.lit("req_"), F.col("cv_id").cast("string")).alias("requirement_id"),
+        F.lit("Terms of a document").alias("text"),
+        F.lit("experience").alias("type"),
+        (F.col("cv_id") % 10 + 1).cast("int").alias("weight"),
+        (F.col("cv_id") % 3 == 0).alias("is_required"),
+        F.array(F.coalesce(F.get(word, F.lit(2)), F.lit("")), pair).alias("keywords"),
+        F.array(F.concat(F.coalesce(F.get(word, F.lit(3)), F.lit("")), F.lit(",")), F.lit("§"), F.lit(" - ")).alias("synonyms"),
+    )
+
+
 def demo_requirements(spark: SparkSession) -> DataFrame:
     """The same five requirements for each market segment that hires; MACHINERY has none."""
     return spark.sql(

@@ -190,6 +190,15 @@ def k11_keyword_scores_map(spark, sf):
     )
 
 
+LONG_KW = sql.with_(sql.LONG_REQS, sql.DOCS, sql.matches("docs", "long_reqs"))
+
+
+@check("k4_long_lists", LONG_KW + "SELECT cv_id, requirement_id, pos - 1 AS pos, sentence FROM hit")
+def k4_long_lists(spark, sf):
+    hits = keyword.match_sentences(long_sentences(spark, sf), inputs.long_requirements(spark, sf))
+    return hits.select("cv_id", "requirement_id", F.col("pos").cast("long").alias("pos"), "sentence")
+
+
 RESULT = """SELECT cv_id, job_position_id, round(preliminary_score, 6) AS preliminary_score,
 missing_required, total_required, tier, elimination_reason FROM screened"""
 
@@ -225,3 +234,10 @@ def k12_keyword_filter_resumes(spark, sf):
     return result(
         keyword.keyword_filter(parsing.sentences(inputs.template_cvs(spark, sf)), inputs.demo_requirements(spark))
     )
+
+
+@check("k12_long_lists", sql.with_(sql.LONG_REQS, sql.DOCS, sql.matches("docs", "long_reqs"), sql.JUDGED) + RESULT)
+def k12_long_lists(spark, sf):
+    return result(
+        keyword.keyword_filter(inputs.document_sentences(spark, sf), inputs.long_requirements(spark, sf))
+    )

@@ -69,6 +69,13 @@ DEMO_REQS = """demo_reqs AS (SELECT j.job_position_id, t.* FROM (VALUES
 AS t(req_pos, requirement_id, text, type, weight, is_required, keywords, synonyms)
 CROSS JOIN (VALUES ('AUTOMOBILE'), ('BUILDING'), ('FURNITURE'), ('HOUSEHOLD')) AS j(job_position_id))"""
 
+LONG_REQS = r"""worded AS (SELECT doc_id, lang, string_split(regexp_replace(trim(text), '\s+', ' ', 'g'), ' ') AS word
+ FROM documents WHERE text IS NOT NULL),
+long_reqs AS (SELECT lang AS job_position_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::INT AS req_pos,
+ 'req_' || doc_id AS requirement_id, 'Terms of a document' AS text, 'experience' AS type, (doc_id % 10 + 1)::INT AS weight,
+ doc_id % 3 = 0 AS is_required, [coalesce(word[3], ''), concat_ws(' ', word[1], word[2])] AS keywords,
+ [coalesce(word[4], '') || ',', '§', ' - '] AS synonyms FROM worded)"""
+
 DOCS = f"""docs AS (SELECT doc_id AS cv_id, lang AS job_position_id, text AS raw_text,
  {sentences('text')} AS sentences FROM documents)"""
 

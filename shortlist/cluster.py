@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-SALTS = 16
 BROADCAST_ROWS = 50_000
+LEAST_ROWS = 1000  # of a key before it is split
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -22,11 +22,21 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(2 * cores, *keys)
 
 
-def _at_most(df: DataFrame, rows: int) -> bool:
+def at_most(df: DataFrame, rows: int) -> bool:
     """Whether the table has at most `rows` rows, reading no more than that many and one."""
     return df.limit(rows + 1).count() <= rows
 
 
+def measured_salts(rows: DataFrame, on: list[str]) -> DataFrame:
+    """(on, _salts) of the keys that hold more than a task's fair share of the rows, each with as many salts
+    as shares it holds. Fewer than 2 x shuffle partitions keys can, so the table is safe to broadcast."""
+    held = cut_lineage(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_held")))
+    total = held.agg(F.sum("_held")).first()[0] or 0
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(total // (2 * tasks), LEAST_ROWS)
+    return held.where(F.col("_held") > share).select(*on, F.ceil(F.col("_held") / F.lit(share)).cast("int").alias("_salts"))
+
+
 def salted_lookup(
     rows: DataFrame,
     lookup: DataFrame,
@@ -38,16 +48,16 @@ def salted_lookup(
     """Equi-join many rows per key to a per-key table, whatever share of the rows one key holds.
 
     The lookup side is broadcast only when counted to be small; then the rows do not move. Beyond
-    that, rows shuffle on (key, salt) against a copy of the lookup per salt, so a hot key is
-    spread over `SALTS` tasks. `bounded_by` names a table that is cheaper to count and has at
-    least as many rows as `lookup`.
+    that, rows shuffle on (key, salt), where a key has as many salts as its measured number of rows
+    calls for (one for most keys), and the lookup side has a copy per salt of its key. `bounded_by`
+    names a table that is cheaper to count and has at least as many rows as `lookup`.
     """
-    if _at_most(lookup if bounded_by is None else bounded_by, BROADCAST_ROWS):
+    if at_most(lookup if bounded_by is None else bounded_by, BROADCAST_ROWS):
         return rows.join(F.broadcast(lookup), on, how)
-    salted_rows = rows.withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-    )
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salts = F.broadcast(measured_salts(rows.select(*on), on))
+    count = F.coalesce("_salts", F.lit(1))
+    salted_rows = rows.join(salts, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), count).cast("int")).drop("_salts")
+    copies = lookup.join(salts, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), count - 1))).drop("_salts")
     return salted_rows.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 

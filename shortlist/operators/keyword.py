@@ -1,5 +1,7 @@
 """Keyword stage: weighted requirement matching of CV sentences.
 
+Jobs with long term lists are looked up by token (see `token_index`), the others term by term.
+
 Two forms give the same answers. `keyword_filter` keeps a CV on one row from end to end: the
 job's requirements are looked up once and matched inside the row, so no sentence is exploded,
 shuffled or grouped, whatever the size of a job. `match_sentences` and `collect_matches` are the
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shortlist.cluster import salted_lookup
 from shortlist.functions import fixed
 from shortlist.functions.text import boundary_match, boundary_pattern, normalize
+from shortlist.operators import token_index
 from shortlist.operators.scoring import (
     assign_tier,
     elimination_reason,
@@ -48,7 +51,7 @@ def _with_patterns(reqs: DataFrame) -> DataFrame:
     )
 
 
-def job_requirements(reqs: DataFrame) -> DataFrame:
+def requirement_lists(reqs: DataFrame) -> DataFrame:
     """One row per job with its ordered requirement list, terms included, and `requirement_gate`:
     malformed when an entry lacks its id, keyword list or synonym list."""
     broken = F.col("requirement_id").isNull() | F.col("keywords").isNull() | F.col("synonyms").isNull()
@@ -65,6 +68,11 @@ def job_requirements(reqs: DataFrame) -> DataFrame:
     )
 
 
+def job_requirements(reqs: DataFrame) -> DataFrame:
+    """The same with `term_slots`, the token index of a long list."""
+    return requirement_lists(reqs).join(token_index.job_slots(needles(reqs)), "job_position_id", "left")
+
+
 def _any_needle(norm: Column, terms: Column) -> Column:
     return F.exists(terms, lambda n: boundary_match(norm, n["needle"], n["pattern"]))
 
@@ -73,8 +81,12 @@ def match_sentences(sentences: DataFrame, reqs: DataFrame) -> DataFrame:
     """Sentence x requirement theta join: equal job, any term matching.
 
     Terms stay an array on the requirement row, so a sentence meets each requirement of its job
-    once and no duplicate hits arise that a distinct would have to remove.
+    once and no duplicate hits arise that a distinct would have to remove. With long lists, sentences
+    meet terms through their tokens instead; (cv_id, pos) is then the sentences' key.
     """
+    terms = needles(reqs)
+    if token_index.is_long(terms):
+        return token_index.match_by_token(sentences, terms)
     lookup = _with_patterns(reqs).select("job_position_id", "req_pos", "requirement_id", "needles")
     prepared = sentences.withColumn("_norm", normalize(F.col("sentence")))
     joined = salted_lookup(
@@ -98,8 +110,9 @@ def score_requirements(cvs: DataFrame, reqs: DataFrame) -> DataFrame:
     """Add `scored`: per requirement, in list order, its matched sentences and raw score; and
     `requirement_gate`: ok, or why the job's list cannot be used (then `scored` is empty).
 
-    Terms absent from the whole document are dropped with one substring test each before the
-    sentence loop. Normalised sentences are computed below the join, once per CV.
+    In a short list, terms absent from the whole document are dropped with one substring test each
+    before the sentence loop; in a long one, a sentence only meets terms filed under its tokens.
+    Normalised sentences are computed below the join, once per CV.
     """
     prepared = cvs.withColumn(
         "_pairs",
@@ -115,32 +128,40 @@ def score_requirements(cvs: DataFrame, reqs: DataFrame) -> DataFrame:
     usable = F.when(gate == fixed.GATE_OK, F.col("requirements")).otherwise(none)
     joined = joined.withColumns({"requirement_gate": gate, "requirements": usable})
 
-    def live(r: Column) -> Column:
-        return r.withField(
-            "needles", F.filter(r["needles"], lambda n: F.contains(F.col("_all"), n["needle"]))
-        )
+    def live(terms: Column) -> Column:
+        return F.filter(terms, lambda n: F.contains(F.col("_all"), n["needle"]))
+
+    def tried(terms: Column) -> Column:
+        held = F.transform(F.array(live(terms)), lambda t: F.filter("_pairs", lambda p: _any_needle(p["norm"], t)))[0]
+        return F.transform(held, lambda p: p["sentence"])
 
-    def matched(r: Column) -> Column:
-        hits = F.filter(F.col("_pairs"), lambda p: _any_needle(p["norm"], r["needles"]))
+    none_matched = F.array().cast("array<string>")
+
+    def matched(r: Column, by_token: Column) -> Column:
+        looked_up = F.transform(F.filter(by_token, lambda h: h["req_pos"] == r["req_pos"]), lambda h: h["sentence"])
         return F.struct(
             r["req_pos"].alias("req_pos"),
             r["requirement_id"].alias("requirement_id"),
             r["text"].alias("text"),
             r["weight"].alias("weight"),
             r["is_required"].alias("is_required"),
-            F.when(F.size(r["needles"]) > 0, F.transform(hits, lambda p: p["sentence"]))
-            .otherwise(F.array().cast("array<string>"))
-            .alias("matched_sentences"),
+            F.when(F.size(r["needles"]) == 0, none_matched).when(by_token.isNotNull(), looked_up).otherwise(tried(r["needles"])).alias("matched_sentences"),
         )
 
+    def of_sentence(p: Column) -> Column:
+        found = token_index.matched_positions(p["norm"], F.col("term_slots"))
+        return F.transform(found, lambda at: F.struct(at.alias("req_pos"), p["sentence"].alias("sentence")))
+
     def with_score(r: Column) -> Column:
         return r.withField("score", raw_score(F.size(r["matched_sentences"])))
 
-    scored = F.transform(F.transform(F.transform("requirements", live), matched), with_score)
+    hits = F.when(F.col("term_slots").isNotNull(), F.flatten(F.transform("_pairs", of_sentence)))
+    listed = F.transform(F.array(hits), lambda h: F.transform("requirements", lambda r: matched(r, h)))[0]
+    scored = F.transform(listed, with_score)
     # Exploding a one-element array pins the result: a later filter on score or tier would otherwise
     # be pushed below this step with the whole matching copied into it, several times over.
     pinned = joined.select("*", F.explode(F.array(scored)).alias("scored"))
-    return pinned.drop("_pairs", "_all", "requirements")
+    return pinned.drop("_pairs", "_all", "requirements", "term_slots")
 
 
 def keyword_scores_map(scored: Column) -> Column:

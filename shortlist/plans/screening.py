@@ -87,7 +87,7 @@ def screen(texts: DataFrame, reqs: DataFrame, client, **call_options) -> Screeni
 def rescore(cvs: DataFrame, texts: DataFrame, reqs: DataFrame, client, **call_options) -> Screening:
     """Keyword and model stages again on what `screen` returned, after a requirement edit. CVs of jobs
     without a usable list in `reqs` come back as they were; totals are those of the jobs rescored."""
-    usable = keyword.job_requirements(reqs).where(F.col("requirement_gate") == fixed.GATE_OK)
+    usable = keyword.requirement_lists(reqs).where(F.col("requirement_gate") == fixed.GATE_OK)
     run = usable.select("job_position_id", F.lit(True).alias("_run"))
     again = lifecycle.rescore(cvs, texts, reqs)
     fresh = cut_lineage(salted_lookup(again, run, ["job_position_id"], ["cv_id"], "left", bounded_by=reqs))

@@ -3,7 +3,8 @@
 Functions that take a DataFrame work on batch and streaming input alike unless they say batch.
 Runs and timings need an order over a job's events that one hot job must not funnel into one
 task, so on a stream they run the batch form inside `foreachBatch` and carry what is still open
-from one micro-batch to the next in a table numbered by batch.
+from one micro-batch to the next in a table numbered by batch. The forms with keyed state, for
+events out of order and without such tables, are in `keyed`.
 """
 
 from __future__ import annotations
@@ -105,7 +106,9 @@ def progress_sessions(events: DataFrame) -> DataFrame:
     return _finish(_run_parts(events))
 
 
-def stream_sessions(events: DataFrame, out: str, state: str, checkpoint: str) -> StreamingQuery:
+def stream_sessions(
+    events: DataFrame, out: str, state: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
     """Append runs to `out` as they close; open ones, at most one per job, wait in `state`.
 
     Each micro-batch reads state n-1 and overwrites its own folders n, so a repeated batch changes
@@ -131,7 +134,7 @@ def stream_sessions(events: DataFrame, out: str, state: str, checkpoint: str) ->
     return (
         events.writeStream.foreachBatch(on_batch)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
@@ -189,14 +192,16 @@ def stream_stale_runs(
     return _stale_only(sessions, minutes)
 
 
-def stage_timings(op_events: DataFrame) -> DataFrame:
-    """Batch: each `start` of a (job, op) paired with the next event when that is its end; an
-    unfinished start stays with outcome `open`."""
+def stage_timings(op_events: DataFrame, within: str | None = None) -> DataFrame:
+    """Batch: each `start` of a (job, op) paired with the next event when that is its end, and not
+    later than `within` after it; an unfinished start stays with outcome `open`."""
     events = op_events.withColumn("_here", F.struct("ts", "seq", "phase"))
     led = distributed_lead(
         events, [JOB, "op"], [F.col("ts").asc(), F.col("seq").asc()], "_here", "_next"
     )
     ended = F.col("_next.phase").isin("done", "failed")
+    if within is not None:
+        ended = ended & (F.col("_next.ts") <= F.col("ts") + F.expr(f"INTERVAL {within}"))
     took = (F.unix_micros("_next.ts") - F.unix_micros("ts")) / F.lit(1000.0)
     return led.where(F.col("phase") == "start").select(
         JOB,
@@ -217,7 +222,9 @@ def timing_totals(timings: DataFrame) -> DataFrame:
     )
 
 
-def stream_timings(op_events: DataFrame, out: str, state: str, checkpoint: str) -> StreamingQuery:
+def stream_timings(
+    op_events: DataFrame, out: str, state: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
     """Append finished timings to `out`; a start with nothing after it waits in `state` as the first
     event of its (job, op) in the next batch."""
 
@@ -240,7 +247,7 @@ def stream_timings(op_events: DataFrame, out: str, state: str, checkpoint: str)
     return (
         op_events.writeStream.foreachBatch(on_batch)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

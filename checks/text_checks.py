@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.sql import Window, functions as F
 
 from checks import inputs, sql
 from checks.registry import check
-from shortlist.cluster import distributed_row_number, spread
+from shortlist.cluster import cut_lineage, shared_folder, spread
 from shortlist.functions import entities, fixed, redaction
 from shortlist.functions.text import js_trim
 from shortlist.operators import parsing
@@ -373,16 +375,54 @@ def p11_enrich(spark, sf):
 # --- sources ----------------------------------------------------------------
 
 
+SCORED_CUSTOMERS = """scored AS (SELECT c_custkey AS cv_id, c_mktsegment AS job_position_id,
+ CASE WHEN c_custkey % 9 <> 0 THEN round(c_acctbal) END AS final_score FROM customer)"""
+
+
 @check(
     "s1_read_cvs",
-    sql.with_(sql.CVS) + """SELECT cv_id, job_position_id, final_score,
-    row_number() OVER (PARTITION BY job_position_id ORDER BY final_score DESC NULLS FIRST, cv_id) AS place FROM cvs""",
+    f"""WITH {SCORED_CUSTOMERS} SELECT cv_id, job_position_id, final_score,
+    row_number() OVER (PARTITION BY job_position_id ORDER BY final_score DESC NULLS FIRST, cv_id) AS place
+    FROM scored WHERE job_position_id <> 'MACHINERY'""",
 )
 def s1_read_cvs(spark, sf):
-    """The order of the scan shows as a place number within each job."""
-    scan = tables.select_cvs(inputs.cvs(spark, sf)).select("cv_id", "job_position_id", "final_score")
-    order = [F.col("final_score").desc_nulls_first(), F.col("cv_id").asc()]
-    return distributed_row_number(scan, ["job_position_id"], order, "place")
+    """CVs written by job and read back for some jobs; the order of the read is kept as it comes."""
+    customers = inputs.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("cv_id"),
+        F.col("c_mktsegment").alias("job_position_id"),
+        F.when(F.col("c_custkey") % 9 != 0, F.round("c_acctbal")).alias("final_score"),
+    )
+    path = f"{shared_folder(spark)}/shortlist-cvs-{uuid.uuid4().hex}"
+    tables.write_cvs(customers, path)
+    scan = tables.read_cvs(spark, path, ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"])
+    numbered = cut_lineage(scan.withColumn("_at", F.monotonically_increasing_id()))
+    place = F.row_number().over(Window.partitionBy("job_position_id").orderBy("_at")).cast("long")
+    return numbered.select("cv_id", "job_position_id", "final_score", place.alias("place"))
+
+
+PER_FILE = 20
+
+
+@check(
+    "s2_read_cv_files",
+    f"""SELECT 'batch=' || doc_id // {PER_FILE} AS folder, 'txt' AS extension, 'text/plain' AS mime_type,
+    sum(strlen(coalesce(text, '')) + 1)::BIGINT AS length, md5(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS content_md5
+    FROM documents GROUP BY doc_id // {PER_FILE}""",
+)
+def s2_read_cv_files(spark, sf):
+    """Documents written as text files, a few to a file, and read back as uploads."""
+    docs = inputs.table(spark, sf, "documents").select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.expr(f"doc_id div {PER_FILE}").alias("batch")
+    )
+    path = f"{shared_folder(spark)}/shortlist-files-{uuid.uuid4().hex}"
+    docs.repartition("batch").sortWithinPartitions("batch", "doc_id").drop("doc_id").write.partitionBy("batch").text(path)
+    return files.read_cv_files(spark, path).where(~F.startswith("filename", F.lit("_"))).select(
+        F.element_at(F.split("path", "/"), -2).alias("folder"),
+        F.regexp_extract("filename", r"\.([^.]+)$", 1).alias("extension"),
+        "mime_type",
+        "length",
+        F.md5("content").alias("content_md5"),
+    )
 
 
 UPLOADS = """uploads AS (SELECT l_orderkey AS batch_id, concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS filename,
@@ -527,13 +567,15 @@ def s8_failed_row(spark, sf):
 
 @check(
     "s10_insert_absent",
-    sql.with_(sql.JOBS) + """, fresh AS (SELECT c_custkey * 7 AS job_position_id, 'New ' || c_name AS title FROM customer)
+    sql.with_(sql.JOBS) + """, fresh AS (SELECT c_custkey // 2 * 7 AS job_position_id, arg_max('New ' || c_name, c_custkey) AS title
+     FROM customer GROUP BY 1)
     SELECT job_position_id, title FROM jobs UNION ALL SELECT job_position_id, title FROM fresh
     WHERE job_position_id NOT IN (SELECT job_position_id FROM jobs)""",
 )
 def s10_insert_absent(spark, sf):
+    """Every new key comes twice; the later row goes in."""
     fresh = inputs.table(spark, sf, "customer").select(
-        (F.col("c_custkey") * 7).alias("job_position_id"), F.concat(F.lit("New "), "c_name").alias("title")
+        F.expr("c_custkey div 2 * 7").alias("job_position_id"), F.concat(F.lit("New "), "c_name").alias("title"), F.col("c_custkey").alias("seq")
     )
-    base = inputs.jobs(spark, sf).select("job_position_id", "title")
-    return tables.insert_absent(base, fresh, ["job_position_id"])
+    base = inputs.jobs(spark, sf).select("job_position_id", "title", F.lit(0).cast("long").alias("seq"))
+    return tables.insert_absent(base, fresh, ["job_position_id"]).drop("seq")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from checks import inputs, sql
 from checks.registry import check
 from checks.text_checks import ENRICHED, SECTIONED
-from shortlist.cluster import distributed_row_number
+from shortlist.cluster import cut_lineage
 from shortlist.operators import views
 from shortlist.operators.parsing import detect_sections, enrich
 
@@ -85,29 +85,43 @@ def v5_filter_cvs(spark, sf):
     return views.filter_cvs(inputs.cvs(spark, sf), "good", "  1_R.t ").select("cv_id", "original_filename")
 
 
-def _sort_check(name, key, direction, order_sql, order_spark):
-    """The order of the sorted table shows as a place within each job."""
+def placed(ordered, *keys):
+    """The order in which a sorted table's rows come out, as places within `keys`. The order is written down
+    as it is, so a lost sort shows."""
+    numbered = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    return numbered.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("_at")).cast("long"))
 
+
+NAMED = sql.CVS.replace("'CV_' ||", "['CV_', 'cv ', 'Été-', 'ete.', 'Zoë_', 'zoe_'][l_partkey % 6 + 1] ||")
+
+
+def named_cvs(spark, sf):
+    """File names with accents, case and marks."""
+    prefix = F.element_at(F.array(*map(F.lit, ["CV_", "cv ", "Été-", "ete.", "Zoë_", "zoe_"])), (F.split("cv_id", "-")[2].cast("int") % 6 + 1))
+    return inputs.cvs(spark, sf).withColumn("original_filename", F.concat(prefix, F.expr("substring(original_filename, 4)")))
+
+
+SORTS = {
+    "score": ("finalScore", "coalesce(final_score, -1)"),
+    "years": ("yearsOfExperience", "years_of_experience"),
+    "tier": ("tier", "CASE tier WHEN 'great' THEN 3 WHEN 'good' THEN 2 ELSE 1 END"),
+    "filename": ("originalFilename", "original_filename COLLATE en_us"),
+}
+
+
+def _sort_check(name, key, expression, direction):
     @check(
-        name,
-        BASE + f"""SELECT job_position_id, cv_id, row_number() OVER (PARTITION BY job_position_id
-        ORDER BY {order_sql}, cv_id) AS place FROM cvs""",
+        f"v6_sort_by_{name}" + ("" if (name in ("score", "tier")) == (direction == "desc") else f"_{direction}"),
+        sql.with_(NAMED) + f"""SELECT job_position_id, cv_id, row_number() OVER (PARTITION BY job_position_id
+        ORDER BY {expression} {direction}, cv_id) AS place FROM cvs""",
     )
     def query(spark, sf):
-        rows = views.sort_cvs(inputs.cvs(spark, sf), key, direction)
-        return distributed_row_number(
-            rows, ["job_position_id"], [*order_spark(), F.col("cv_id").asc()], "place"
-        ).select("job_position_id", "cv_id", "place")
+        return placed(views.sort_cvs(named_cvs(spark, sf), key, direction), "job_position_id").select("job_position_id", "cv_id", "place")
 
 
-_sort_check("v6_sort_by_score", "finalScore", "desc", "coalesce(final_score, -1) DESC",
-            lambda: [F.coalesce("final_score", F.lit(-1.0)).desc()])
-_sort_check("v6_sort_by_years", "yearsOfExperience", "asc", "years_of_experience",
-            lambda: [F.col("years_of_experience").asc()])
-_sort_check("v6_sort_by_tier", "tier", "desc", "CASE tier WHEN 'great' THEN 3 WHEN 'good' THEN 2 ELSE 1 END DESC",
-            lambda: [views.tier_rank(F.col("tier")).desc()])
-_sort_check("v6_sort_by_filename", "originalFilename", "asc", "lower(original_filename), original_filename",
-            lambda: [F.lower("original_filename").asc(), F.col("original_filename").asc()])
+for _name, (_key, _expression) in SORTS.items():
+    for _direction in ("asc", "desc"):
+        _sort_check(_name, _key, _expression, _direction)
 
 
 @check("v7_tier_rank", BASE + "SELECT cv_id, CASE tier WHEN 'great' THEN 3 WHEN 'good' THEN 2 ELSE 1 END AS tier_rank FROM cvs")
@@ -135,10 +149,7 @@ def v10_top_skills(spark, sf):
 )
 def v11_jobs_of(spark, sf):
     """Every owner's list; the place number shows its order."""
-    mine = views.jobs_of(inputs.jobs(spark, sf))
-    return distributed_row_number(
-        mine, ["user_id"], [F.col("created_at").desc(), F.col("job_position_id").asc()], "place"
-    ).select("user_id", "job_position_id", "place")
+    return placed(views.jobs_of(inputs.jobs(spark, sf)), "user_id").select("user_id", "job_position_id", "place")
 
 
 @check(

@@ -37,6 +37,15 @@ def measured_salts(rows: DataFrame, on: list[str]) -> DataFrame:
     return held.where(F.col("_held") > share).select(*on, F.ceil(F.col("_held") / F.lit(share)).cast("int").alias("_salts"))
 
 
+def group_sizes(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, _size) of every group, written once, and (keys, _big) of those above a task's fair share:
+    fewer than 2 x shuffle partitions, hence safe to broadcast."""
+    sizes = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")))
+    total = sizes.agg(F.sum("_size")).first()[0] or 0
+    share = max(total // (2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), LEAST_ROWS)
+    return sizes, sizes.where(F.col("_size") > share).select(*keys, F.lit(True).alias("_big"))
+
+
 def salted_lookup(
     rows: DataFrame,
     lookup: DataFrame,

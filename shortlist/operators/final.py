@@ -90,13 +90,16 @@ def apply_ai_results(cvs: DataFrame, results: DataFrame) -> DataFrame:
 
     A CV with a result is re-tiered by the strict thresholds even when its call failed, from
     keyword scores then. Its earlier model scores stay when the call gave none; its elimination
-    reason is left alone. One join on cv_id; everything else happens inside the row.
+    reason is left alone. Of several results of one CV the last by `seq` counts where there is such a
+    column, else one with scores, the dearest. One join on cv_id; everything else happens inside the row.
     """
-    given = results.select(
+    order = "seq" if "seq" in results.columns else F.struct(F.col("ai_scores").isNotNull(), "cost_usd", "model", F.to_json("ai_scores"))
+    newest = results.groupBy("cv_id").agg(F.max_by(F.struct("ai_scores", "model", "cost_usd"), order).alias("_given"))
+    given = newest.select(
         "cv_id",
-        F.col("ai_scores").alias("_new_scores"),
-        F.col("model").alias("_model"),
-        F.col("cost_usd").alias("_cost"),
+        F.col("_given.ai_scores").alias("_new_scores"),
+        F.col("_given.model").alias("_model"),
+        F.col("_given.cost_usd").alias("_cost"),
         F.lit(True).alias("_called"),
     )
     joined = cvs.join(given, "cv_id", "left")

@@ -99,9 +99,9 @@ def _with_counts(jobs: DataFrame, cvs: DataFrame) -> DataFrame:
 
 
 def complete_runs(jobs: DataFrame, cvs: DataFrame, totals: DataFrame) -> DataFrame:
-    """Finish the jobs in `totals` (job_position_id, ai_cost_delta): recounted tiers, cost added.
-    The stored total is not reset."""
-    delta = totals.select(JOB, F.col("ai_cost_delta").alias("_delta"))
+    """Finish the jobs in `totals` (job_position_id, ai_cost_delta): recounted tiers, cost added, that of
+    repeated totals of a job summed. The stored total is not reset."""
+    delta = totals.groupBy(JOB).agg(F.coalesce(F.sum("ai_cost_delta"), F.lit(0.0)).alias("_delta"))
     joined = _with_counts(jobs, cvs).join(delta, JOB, "left")
     return _set_where(
         joined,
@@ -134,14 +134,22 @@ def refresh_counts(jobs: DataFrame, cvs: DataFrame, keys: DataFrame | None = Non
     ).select(*jobs.columns)
 
 
+def _only_one(column: str, message: str) -> Column:
+    """The value all rows of a group agree on, or an error."""
+    return F.when(F.min(column) == F.max(column), F.min(column)).otherwise(F.raise_error(F.lit(message)))
+
+
 def override_tiers(cvs: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Manual tiers (cv_id, job_position_id, new_tier): applied only where the CV belongs to that
-    job. Sets the tier, clears the reason, keeps the score. Returns (CVs, rejected overrides)."""
+    job. Sets the tier, clears the reason, keeps the score. Returns (CVs, rejected overrides). Of several
+    for one CV the one with the greatest `seq` counts; without such a column there may be only one, and
+    more raise an error when the CVs are read."""
     owned = cvs.select("cv_id", JOB)
     known = F.coalesce(F.col("new_tier").isin("great", "good", "no-match"), F.lit(False))
     allowed = overrides.where(known)
     rejected = allowed.join(owned, ["cv_id", JOB], "left_anti").unionByName(overrides.where(~known))
-    given = latest(allowed, "cv_id", JOB).select("cv_id", JOB, F.col("new_tier").alias("_tier"))
+    last = F.max_by("new_tier", "seq") if "seq" in overrides.columns else _only_one("new_tier", "overrides of one CV need seq")
+    given = allowed.groupBy("cv_id", JOB).agg(last.alias("_tier"))
     joined = cvs.join(given, ["cv_id", JOB], "left")
     hit = F.col("_tier").isNotNull()
     changed = _set_where(

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shortlist.cluster import distributed_row_number, salted_lookup
+from shortlist.cluster import at_most, cut_lineage, distributed_row_number, distributed_running_sum, group_sizes, salted_lookup
 from shortlist.functions import fixed
 from shortlist.functions.text import js_trim
 
 JOB = "job_position_id"
+MERGED = 16  # salts that meet in one task when the best of a job are merged
 
 
 def tier_bucket(tier: Column) -> Column:
@@ -20,14 +21,42 @@ def tier_rank(tier: Column) -> Column:
     return ranks.otherwise(fixed.TIER_RANKS["no-match"])
 
 
-def rank_in_tier(cvs: DataFrame) -> DataFrame:
-    """Add `bucket` and `rank_in_tier`: score descending with null as 0, key breaking ties. One
-    job's bucket may hold any share of the rows, so the ranking itself is distributed."""
-    bucketed = cvs.withColumn("bucket", tier_bucket(F.col("tier"))).withColumn(
-        "_score", F.coalesce("final_score", F.lit(0.0))
-    )
+def _ranked(cvs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranked CVs and the sizes of their (job, bucket) groups."""
+    group = [JOB, "bucket"]
+    bucketed = cvs.withColumn("bucket", tier_bucket(F.col("tier"))).withColumn("_score", F.coalesce("final_score", F.lit(0.0)))
     order = [F.col("_score").desc(), F.col("cv_id").asc()]
-    return distributed_row_number(bucketed, [JOB, "bucket"], order, "rank_in_tier").drop("_score")
+    in_group = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long").alias("rank_in_tier")
+    sizes, big = group_sizes(bucketed, group)
+    if at_most(big, 0):
+        return bucketed.select("*", in_group).drop("_score"), sizes
+    same = F.col(f"c.{JOB}").eqNullSafe(F.col(f"b.{JOB}")) & (F.col("c.bucket") == F.col("b.bucket"))
+    marked = bucketed.alias("c").join(F.broadcast(big).alias("b"), same, "left").select("c.*", "_big")
+    small = marked.where(F.col("_big").isNull()).drop("_big").select("*", in_group)
+    hot = marked.where("_big").drop("_big")
+    return small.unionByName(_rank_by_counting(hot, group)).drop("_score"), sizes
+
+
+def _rank_by_counting(hot: DataFrame, group: list[str]) -> DataFrame:
+    """Rank in groups too big for a task: how many stand above the score, from summed counts, and the place
+    among equals. Only keys are ordered; the rows meet their ranks by cv_id, which no group is hot in."""
+    scored = [*group, "_score"]
+    counts = hot.groupBy(*scored).agg(F.count(F.lit(1)).alias("_equal"))
+    summed = distributed_running_sum(counts, group, [F.col("_score").desc()], F.col("_equal"), "_to_here")
+    above = cut_lineage(summed.select(*scored, (F.col("_to_here") - F.col("_equal")).alias("_above"), (F.col("_equal") > 1).alias("_tied")))
+    keys = hot.select(*scored, "cv_id")
+    placed = salted_lookup(keys, above, scored, ["cv_id"])
+    tied = distributed_row_number(placed.where("_tied"), scored, [F.col("cv_id").asc()], "_place")
+    alone = placed.where(~F.col("_tied")).withColumn("_place", F.lit(1).cast("long"))
+    ranks = tied.unionByName(alone).select("cv_id", JOB, (F.col("_above") + F.col("_place")).alias("rank_in_tier"))
+    return hot.join(ranks, ["cv_id", JOB])
+
+
+def rank_in_tier(cvs: DataFrame) -> DataFrame:
+    """Add `bucket` and `rank_in_tier`: score descending with null as 0, key breaking ties. A group of a
+    task's fair share or less is ranked by a window; a bigger one by counting, so that no task sees all
+    of it and no full-width row is written. cv_id is the key of the CVs of a job, and each has a job."""
+    return _ranked(cvs)[0]
 
 
 def tier_counts(cvs: DataFrame) -> DataFrame:
@@ -49,21 +78,36 @@ def tier_summary(jobs: DataFrame, cvs: DataFrame) -> DataFrame:
 def results(jobs: DataFrame, cvs: DataFrame) -> DataFrame:
     """Job row with each of its ranked CVs; a job without CVs keeps one row. The CV side may be
     any size per job, so jobs join as the per-key side of a salted lookup."""
-    ranked = rank_in_tier(cvs)
+    ranked, sizes = _ranked(cvs)
     header = jobs.select(JOB, "title", "status")
     with_cvs = salted_lookup(ranked, header, [JOB], ["cv_id"], bounded_by=jobs)
-    empty = header.join(cvs.select(JOB).distinct(), JOB, "left_anti")
+    empty = header.join(sizes.select(JOB).distinct(), JOB, "left_anti")
     return with_cvs.unionByName(empty, allowMissingColumns=True)
 
 
 def top_n(cvs: DataFrame, n: int, per_job: bool = False) -> DataFrame:
-    """Best n by final score, nulls last, key breaking ties. Per job, the rank filter reaches
-    below the shuffle, so each task sends on at most n rows per job."""
+    """Best n by final score, nulls last, key breaking ties.
+
+    Per job, a small n is cut below the shuffle by Spark's own rank limit. Beyond that limit, the best n
+    are taken per (job, salt) first and salts are merged 16 at a time, so no task gets more than 16 n rows
+    of a job after the first cut, and the first spreads a job over all tasks.
+    """
     order = [F.col("final_score").desc_nulls_last(), F.col("cv_id").asc()]
     if not per_job:
         return cvs.orderBy(*order).limit(n)
-    position = F.row_number().over(Window.partitionBy(JOB).orderBy(*order))
-    return cvs.withColumn("rank", position).where(F.col("rank") <= n)
+
+    def best(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+
+    conf = cvs.sparkSession.conf
+    if n <= int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        return best(cvs, JOB)
+    salts = int(conf.get("spark.sql.shuffle.partitions"))
+    rows = cvs.withColumn("_salt", F.pmod(F.xxhash64("cv_id"), F.lit(salts)))
+    while salts > 1:
+        rows = best(rows, JOB, "_salt").drop("rank").withColumn("_salt", F.floor(F.col("_salt") / MERGED))
+        salts = -(-salts // MERGED)
+    return best(rows.drop("_salt"), JOB)
 
 
 def filter_cvs(cvs: DataFrame, tier: str = "all", search: str = "") -> DataFrame:
@@ -76,12 +120,13 @@ def filter_cvs(cvs: DataFrame, tier: str = "all", search: str = "") -> DataFrame
 
 
 def sort_cvs(cvs: DataFrame, key: str = "finalScore", direction: str = "desc") -> DataFrame:
-    """Sort by finalScore (null = -1), yearsOfExperience, tier or originalFilename."""
+    """Sort by finalScore (null = -1), yearsOfExperience, tier or originalFilename, names in the order of
+    the root locale (accents and case count after letters); names equal in it, and ties, by cv_id."""
     columns = {
         "finalScore": [F.coalesce("final_score", F.lit(-1.0))],
         "yearsOfExperience": [F.col("years_of_experience")],
         "tier": [tier_rank(F.col("tier"))],
-        "originalFilename": [F.lower("original_filename"), F.col("original_filename")],
+        "originalFilename": [F.collate("original_filename", "UNICODE")],
     }[key]
     ordered = [c.asc() if direction == "asc" else c.desc() for c in columns]
     return cvs.orderBy(*ordered, F.col("cv_id").asc())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shortlist import schemas
+from shortlist.cluster import latest
 from shortlist.functions import fixed
 
 
@@ -60,5 +61,6 @@ def write_cvs(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def insert_absent(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Add the rows whose key is not there yet; existing rows stay untouched."""
-    return base.unionByName(new.join(base.select(*keys), keys, "left_anti"))
+    """Add the rows whose key is not there yet; existing rows stay untouched. Of new rows with one key one
+    goes in: that with the greatest `seq` where there is such a column."""
+    return base.unionByName(latest(new, *keys).join(base.select(*keys), keys, "left_anti"))

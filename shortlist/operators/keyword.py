@@ -69,8 +69,11 @@ def requirement_lists(reqs: DataFrame) -> DataFrame:
 
 
 def job_requirements(reqs: DataFrame) -> DataFrame:
-    """The same with `term_slots`, the token index of a long list."""
-    return requirement_lists(reqs).join(token_index.job_slots(needles(reqs)), "job_position_id", "left")
+    """The same; if any list is long, with `term_slots`, the token index of each long list."""
+    terms = needles(reqs)
+    if not token_index.is_long(terms):
+        return requirement_lists(reqs)
+    return requirement_lists(reqs).join(token_index.job_slots(terms), "job_position_id", "left")
 
 
 def _any_needle(norm: Column, terms: Column) -> Column:
@@ -128,35 +131,40 @@ def score_requirements(cvs: DataFrame, reqs: DataFrame) -> DataFrame:
     usable = F.when(gate == fixed.GATE_OK, F.col("requirements")).otherwise(none)
     joined = joined.withColumns({"requirement_gate": gate, "requirements": usable})
 
-    def live(terms: Column) -> Column:
-        return F.filter(terms, lambda n: F.contains(F.col("_all"), n["needle"]))
-
-    def tried(terms: Column) -> Column:
-        held = F.transform(F.array(live(terms)), lambda t: F.filter("_pairs", lambda p: _any_needle(p["norm"], t)))[0]
-        return F.transform(held, lambda p: p["sentence"])
+    def live(r: Column) -> Column:
+        return r.withField(
+            "needles", F.filter(r["needles"], lambda n: F.contains(F.col("_all"), n["needle"]))
+        )
 
-    none_matched = F.array().cast("array<string>")
+    def tried(r: Column) -> Column:
+        hits = F.filter(F.col("_pairs"), lambda p: _any_needle(p["norm"], r["needles"]))
+        return F.transform(hits, lambda p: p["sentence"])
 
-    def matched(r: Column, by_token: Column) -> Column:
-        looked_up = F.transform(F.filter(by_token, lambda h: h["req_pos"] == r["req_pos"]), lambda h: h["sentence"])
+    def entry(r: Column, matched: Column) -> Column:
         return F.struct(
             r["req_pos"].alias("req_pos"),
             r["requirement_id"].alias("requirement_id"),
             r["text"].alias("text"),
             r["weight"].alias("weight"),
             r["is_required"].alias("is_required"),
-            F.when(F.size(r["needles"]) == 0, none_matched).when(by_token.isNotNull(), looked_up).otherwise(tried(r["needles"])).alias("matched_sentences"),
+            F.when(F.size(r["needles"]) > 0, matched).otherwise(F.array().cast("array<string>")).alias("matched_sentences"),
         )
 
     def of_sentence(p: Column) -> Column:
         found = token_index.matched_positions(p["norm"], F.col("term_slots"))
         return F.transform(found, lambda at: F.struct(at.alias("req_pos"), p["sentence"].alias("sentence")))
 
+    def looked_up(r: Column, hits: Column) -> Column:
+        return F.transform(F.filter(hits, lambda h: h["req_pos"] == r["req_pos"]), lambda h: h["sentence"])
+
     def with_score(r: Column) -> Column:
         return r.withField("score", raw_score(F.size(r["matched_sentences"])))
 
-    hits = F.when(F.col("term_slots").isNotNull(), F.flatten(F.transform("_pairs", of_sentence)))
-    listed = F.transform(F.array(hits), lambda h: F.transform("requirements", lambda r: matched(r, h)))[0]
+    listed = F.transform(F.transform("requirements", live), lambda r: entry(r, tried(r)))
+    if "term_slots" in joined.columns:
+        hits = F.array(F.flatten(F.transform("_pairs", of_sentence)))
+        by_token = F.transform(hits, lambda h: F.transform("requirements", lambda r: entry(r, looked_up(r, h))))[0]
+        listed = F.when(F.col("term_slots").isNotNull(), by_token).otherwise(listed)
     scored = F.transform(listed, with_score)
     # Exploding a one-element array pins the result: a later filter on score or tier would otherwise
     # be pushed below this step with the whole matching copied into it, several times over.

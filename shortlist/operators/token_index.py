@@ -33,6 +33,8 @@ def by_rarest_token(terms: DataFrame) -> DataFrame:
 
 def is_long(terms: DataFrame) -> bool:
     """Whether any job has a long list."""
+    if at_most(terms, LONG_LIST):
+        return False
     most = terms.groupBy("job_position_id").count().agg(F.max("count")).first()[0]
     return (most or 0) > LONG_LIST
 

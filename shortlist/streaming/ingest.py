@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from shortlist.plans.screening import screen_texts
+from shortlist.sources.files import file_texts, stream_cv_files
 
 
 def stream_ingest(
@@ -33,3 +34,19 @@ def stream_ingest(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def stream_files(
+    spark: SparkSession,
+    folder: str,
+    read_reqs: Callable[[], DataFrame],
+    sink: str,
+    checkpoint: str,
+    decoders: dict[str, Callable[[bytes], str]] | None = None,
+    trigger: dict | None = None,
+    files_per_batch: int = 1000,
+) -> StreamingQuery:
+    """Screen files as they arrive in the jobs' folders under `folder`. Each file gives one row; one that
+    cannot be read gives a failed row with the reason."""
+    texts = file_texts(stream_cv_files(spark, folder, files_per_batch), decoders)
+    return stream_ingest(texts, read_reqs, sink, checkpoint, trigger)

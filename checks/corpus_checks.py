@@ -147,7 +147,7 @@ def g4_generate_corpus(spark, sf):
         tier = user.split("TARGET TIER: ")[1].split("\n")[0]
         bullets = {
             "strong": ["Built Node.js services", "Scaled Node.js apps", "Ran nodejs on call", "Led Kubernetes work",
-                       "Kubernetes upgrades", "More k8s", "TypeScript everywhere", "Typed javascript", "More TypeScript"],
+                       "Kubernetes upgrades", "More k8s", "TypeScript everywhere", "TypeScript at work", "More TypeScript"],
             "partial": ["Built Express APIs", "Some TypeScript", "A little k8s"],
             "weak": ["Kept a PHP site going"],
         }[tier]

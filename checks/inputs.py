@@ -21,16 +21,11 @@ CORPUS_REQUIREMENTS = """
 """
 
 DEMO_REQUIREMENTS = """
-(0, 'req_1', '5+ years Node.js experience', 'experience', 9, true,
- array('node.js', 'nodejs', 'node'), array('express', 'nestjs', 'javascript backend')),
-(1, 'req_2', 'TypeScript proficiency', 'technology', 8, true,
- array('typescript', 'ts'), array('typed javascript')),
-(2, 'req_3', 'Kubernetes production experience', 'technology', 9, true,
- array('kubernetes', 'k8s'), array('container orchestration', 'kube')),
-(3, 'req_4', 'React for frontend work', 'technology', 6, false,
- array('react', 'reactjs'), array('react.js', 'jsx', 'redux')),
-(4, 'req_5', 'AWS or GCP experience', 'technology', 5, false,
- array('aws', 'gcp'), array('amazon web services', 'google cloud'))
+(0, 'need_a', 'Has built web services', 'experience', 7, true, array('node.js', 'express'), array('on call')),
+(1, 'need_b', 'Writes typed code', 'technology', 6, true, array('typescript'), array('c++')),
+(2, 'need_c', 'Has run clusters', 'technology', 8, false, array('kubernetes', 'k8s'), array('managed')),
+(3, 'need_d', 'Has built pages', 'technology', 4, false, array('react'), array('php sites')),
+(4, 'need_e', 'Knows hosting', 'technology', 5, false, array('aws', '+1'), array('docker at scale'))
 """
 
 STATUSES = [

@@ -144,7 +144,7 @@ def _inline_sql(x):
     + """SELECT cv_id, '[' || chr(10) || listed || chr(10) || ']' AS prompt_requirements,
      CASE WHEN techs = '' THEN '(none detected)' ELSE techs END AS prompt_technologies,
      coalesce(body, '(no keyword matches found — read the full CV below)') AS prompt_matches,
-     'Years of experience: ' || years AS years_line, anonymized_text AS tail
+     'years of work ' || years AS years_line, anonymized_text AS tail
     FROM screened JOIN lines USING (cv_id) JOIN facts USING (cv_id) JOIN safe USING (cv_id) WHERE tier IN ('good', 'great')""",
 )
 def a3_scoring_prompts(spark, sf):
@@ -152,14 +152,14 @@ def a3_scoring_prompts(spark, sf):
     survivors = inference.gate_candidates(matched).drop("sentences")
     gated = redaction.redact(enrich(survivors))  # the costly steps only for those the model will see
     prompts = inference.scoring_prompts(gated)
-    start = F.element_at(F.split("user_prompt", "FULL ANONYMIZED CV TEXT:\n"), 2)
+    start = F.element_at(F.split("user_prompt", "personal data removed:\n"), 2)
     return prompts.select(
         "cv_id",
         "prompt_requirements",
         "prompt_technologies",
         "prompt_matches",
-        F.regexp_extract("user_prompt", r"(Years of experience: \d+)", 1).alias("years_line"),
-        F.element_at(F.split(start, "\n\nReturn JSON:"), 1).alias("tail"),
+        F.regexp_extract("user_prompt", r"(years of work \d+)", 1).alias("years_line"),
+        F.element_at(F.split(start, "\n\nAnswer with one JSON object"), 1).alias("tail"),
     )
 
 
@@ -244,7 +244,7 @@ def a8_extract_requirements(spark, sf):
     )
 
     def client(model, system, user):
-        body = user[len("Job description:\n"):user.rindex("\n\nReturn JSON with this exact schema")]
+        body = user[len("The advertisement:\n"):user.rindex("\n\nAnswer with one JSON object")]
         n = len(body)
         if n % 3 == 2:
             raise RuntimeError("down")

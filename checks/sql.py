@@ -57,15 +57,11 @@ CORPUS_REQS = """corpus_reqs AS (SELECT * FROM (VALUES
 AS t(job_position_id, req_pos, requirement_id, text, type, weight, is_required, keywords, synonyms))"""
 
 DEMO_REQS = """demo_reqs AS (SELECT j.job_position_id, t.* FROM (VALUES
-(0, 'req_1', '5+ years Node.js experience', 'experience', 9, true,
- ['node.js', 'nodejs', 'node'], ['express', 'nestjs', 'javascript backend']),
-(1, 'req_2', 'TypeScript proficiency', 'technology', 8, true, ['typescript', 'ts'], ['typed javascript']),
-(2, 'req_3', 'Kubernetes production experience', 'technology', 9, true,
- ['kubernetes', 'k8s'], ['container orchestration', 'kube']),
-(3, 'req_4', 'React for frontend work', 'technology', 6, false,
- ['react', 'reactjs'], ['react.js', 'jsx', 'redux']),
-(4, 'req_5', 'AWS or GCP experience', 'technology', 5, false,
- ['aws', 'gcp'], ['amazon web services', 'google cloud']))
+(0, 'need_a', 'Has built web services', 'experience', 7, true, ['node.js', 'express'], ['on call']),
+(1, 'need_b', 'Writes typed code', 'technology', 6, true, ['typescript'], ['c++']),
+(2, 'need_c', 'Has run clusters', 'technology', 8, false, ['kubernetes', 'k8s'], ['managed']),
+(3, 'need_d', 'Has built pages', 'technology', 4, false, ['react'], ['php sites']),
+(4, 'need_e', 'Knows hosting', 'technology', 5, false, ['aws', '+1'], ['docker at scale']))
 AS t(req_pos, requirement_id, text, type, weight, is_required, keywords, synonyms)
 CROSS JOIN (VALUES ('AUTOMOBILE'), ('BUILDING'), ('FURNITURE'), ('HOUSEHOLD')) AS j(job_position_id))"""
 

@@ -196,3 +196,7 @@ def java_pattern(pattern: str) -> str:
         .replace("~<", f"(?<!{ASCII_WORD})")
         .replace("~>", f"(?!{ASCII_WORD})")
     )
+
+# What a prompt says where there is nothing to list.
+NO_TECHNOLOGIES = "(none detected)"
+NO_KEYWORD_MATCHES = "(no keyword matches found — read the full CV below)"

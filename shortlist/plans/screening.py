@@ -70,7 +70,7 @@ def score_candidates(cvs: DataFrame, texts: DataFrame, client, **call_options) -
     """
     gated = inference.route_model(inference.gate_candidates(texts))
     call_options.setdefault("carry", ("job_position_id",))
-    answers = cut_lineage(inference.batch_infer(inference.scoring_prompts(gated), client, **call_options))
+    answers = inference.stored_answers(inference.scoring_prompts(gated), client, **call_options)
     answered = inference.estimate_cost(inference.parse_responses(answers))
     updated = apply_ai_results(cvs, answered)
     return updated, run_totals(answered, inference.gate_counts(cvs))
@@ -107,9 +107,9 @@ def generate_corpus(
     job has no title or requirements."""
     wanted, _ = corpus.allocate_mix(requests)
     prompts = corpus.generation_prompts(wanted, jobs, reqs)
-    call_options.setdefault("concurrency", fixed.GENERATIONS_IN_FLIGHT)
+    call_options.setdefault("in_flight", fixed.GENERATIONS_IN_FLIGHT)
     kept = ("job_position_id", "idx", "quality_tier")
-    answers = cut_lineage(inference.batch_infer(prompts, client, key="item", carry=kept, **call_options))
+    answers = inference.stored_answers(prompts, client, key="item", carry=kept, **call_options)
     made = corpus.sanitize_generated(
         corpus.parse_generated(answers.where(F.col("error").isNull()), "content"), current_year
     )

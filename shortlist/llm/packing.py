@@ -2,8 +2,9 @@
 
 Overlong documents are first cut into full windows. What is left of each document goes, longest
 first, into the open window with the least room that still holds it, found in a segment tree over
-remaining capacity. Remainders are packed in hash blocks of about `PER_BLOCK` pieces: a block leaves
-at most a few partly filled windows, so padding does not depend on packing everything in one place.
+remaining capacity. Pieces are packed in hash blocks of at most about `BLOCK_BYTES` of ids, whatever the
+documents' lengths: a block leaves at most a few partly filled windows, so padding does not depend on packing
+everything in one place.
 
 A sequence is padded to the window unless the tokens in it are a power of two. Defined results: null
 text is an empty document (its end id alone); rows that repeat a document are packed each; no rows
@@ -16,16 +17,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from shortlist.llm.common import blocks, read
+from shortlist.llm.common import blocks, read, text_bytes
 from shortlist.llm.registry import query
 from shortlist.llm.tokens import VOCABULARY, encoder
 
 WINDOW = 1024
 END_ID = 0
-PER_BLOCK = 50_000
+BLOCK_BYTES = 64 << 20  # most bytes of ids in a block: four for each byte of text and each end
+MOST_PARTITIONS = 20_000
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PLACE = ", sequence_id long, offset long, sequence_tokens long, padding long"
@@ -109,40 +110,53 @@ def cut_pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, voca
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def _filled(place: np.ndarray, length: np.ndarray) -> np.ndarray:
-    return np.bincount(place, weights=length).astype(np.int64)[place]
-
-
-def place_pieces(pieces: DataFrame, count: int, window: int = WINDOW, per_block: int = PER_BLOCK) -> DataFrame:
-    """Adds sequence_id, offset, and the sequence's tokens and padding to each piece."""
+def place_pieces(pieces: DataFrame, count: int, window: int = WINDOW, partitions: int = MOST_PARTITIONS) -> DataFrame:
+    """Adds sequence_id, offset, and the sequence's tokens and padding to each piece; `count` hash blocks. A
+    task gets its blocks sorted, longest pieces first, and holds one at a time."""
     columns = pieces.columns
-    dealt = pieces.repartition(blocks(count, per_block), F.xxhash64("doc_id", "start"))
-
-    def run(batches):
-        tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if not tables:
-            return
-        block = pa.concat_tables(tables)
-        length = block.column("length").to_numpy()
-        ids = block.column("doc_id").fill_null(-1).to_numpy()
-        order = np.lexsort((block.column("ids_crc32").to_numpy(), block.column("start").to_numpy(), ids, -length))
-        block, length = block.take(pa.array(order)), length[order]
+    block = F.pmod(F.xxhash64("doc_id", "start"), F.lit(count)).alias("_block")
+    order = [F.col("_block").asc(), F.col("length").desc(), F.col("doc_id").asc(), F.col("start").asc(), F.col("ids_crc32").asc()]
+    dealt = pieces.select(block, "*").repartition(min(count, partitions), "_block").sortWithinPartitions(*order)
+
+    def placed(parts: list[pa.RecordBatch]):
+        held = pa.Table.from_batches(parts)
+        number = held.column("_block")[0].as_py()
+        length = held.column("length").to_numpy()
         place, offset = best_fit(length.tolist(), window)
         place = np.array(place, np.int64)
-        filled = _filled(place, length)
+        filled = np.bincount(place, weights=length).astype(np.int64)[place]
         padding = np.where((filled & (filled - 1)) == 0, 0, window - filled)
-        first = TaskContext.get().partitionId() << 40
-        for name, values in (("sequence_id", place + first), ("offset", np.array(offset, np.int64)), ("sequence_tokens", filled), ("padding", padding)):
-            block = block.append_column(name, pa.array(values))
-        yield from block.to_batches(max_chunksize=20_000)
+        held = held.drop_columns(["_block"])
+        for name, values in (("sequence_id", place + (number << 40)), ("offset", np.array(offset, np.int64)), ("sequence_tokens", filled), ("padding", padding)):
+            held = held.append_column(name, pa.array(values))
+        yield from held.to_batches(max_chunksize=5_000)
+
+    def run(batches):
+        parts, now = [], None
+        for batch in batches:
+            numbers = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(numbers)) + 1, [len(numbers)]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if a == b:
+                    continue
+                if parts and numbers[a] != now:
+                    yield from placed(parts)
+                    parts = []
+                now = numbers[a]
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield from placed(parts)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name in columns) + _PLACE
     return dealt.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary: str = VOCABULARY, keep_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary: str = VOCABULARY, keep_ids: bool = False, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """One row per piece with its place; `keep_ids` adds the ids themselves."""
-    return place_pieces(cut_pieces(docs, window, end_id, vocabulary, keep_ids), docs.count(), window)
+    rows, size = text_bytes(docs)
+    return place_pieces(cut_pieces(docs, window, end_id, vocabulary, keep_ids), blocks(4 * (size + rows), block_bytes), window)
 
 
 @query("op8_packing")

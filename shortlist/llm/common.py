@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shortlist.cluster import cut_lineage, shared_folder  # noqa: F401
@@ -32,6 +34,15 @@ def blocks(amount: int, per_block: int, least: int = 1) -> int:
     return max(least, -(-int(amount) // per_block))
 
 
+def apart(docs: DataFrame, needed: list[str], work) -> DataFrame:
+    """`work` over the columns it needs, the others held in one struct, so that no name of theirs can meet a
+    name it uses; their place and values come out as they were."""
+    mine = [c for c in docs.columns if c in needed]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    out = work(docs.select(*[F.col(f"`{c}`") for c in mine], F.struct(F.lit(0).alias("_"), *rest).alias("others")))
+    return out.select(*[F.col(f"`{c}`") if c in needed else F.col("others").getField(c).alias(c) for c in docs.columns])
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and bytes of the texts; a scan with two counters."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text))).alias("b")).first()
@@ -56,6 +67,24 @@ def worker_cache(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+class Shipped:
+    """A value sent to all executors as bytes that need no module of this package there; each worker builds
+    it once."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.name = uuid.uuid4().hex
+
+    @property
+    def value(self):
+        cache = worker_cache("shipped")
+        if self.name not in cache:
+            if len(cache) >= 4:
+                cache.pop(next(iter(cache)))
+            cache[self.name] = cloudpickle.loads(self.sent.value)
+        return cache[self.name]
+
+
 def starts_of(sorted_values: np.ndarray) -> np.ndarray:
     """Where a new value begins in a sorted array."""
     if len(sorted_values) == 0:

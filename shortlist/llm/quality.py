@@ -1,13 +1,13 @@
 """Quality rules: per-document counts and cross-document line frequency, in DataFrame functions only.
 
 Method: each line is normalised (lower case, blank runs to one space, digits to 0) and hashed; per host
-the distinct texts that hold a line are counted; lines above the limits are removed; a document that
-keeps too little of its words is rejected.
+the distinct documents that hold a line are counted; lines above the limits are removed; a document
+that keeps too little of its words is rejected. The limits are a share of the host's documents and a
+floor of a few documents, so they act alike on hosts of any size from the floor on.
 
 Defined results: null text has no words and no lines and fails the base rule; a null host is a host
-of its own; rows that repeat a document are each returned, while the texts behind a line are
-counted once, so exact copies never make their own lines frequent; a table without rows gives no
-rows; extra columns pass through `clean_documents` untouched.
+of its own; rows with one doc_id are each returned but counted once behind a line, rows without doc_id
+by their text; a table without rows gives no rows; extra columns pass through `clean_documents` untouched.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shortlist.cluster import salted_lookup
-from shortlist.llm.common import BLANKS, bound, cut_lineage, read
+from shortlist.llm.common import BLANKS, apart, bound, cut_lineage, read
 from shortlist.llm.registry import query
 
-MIN_DOCS = 50  # a line is frequent from this many distinct texts of its host ...
-MAX_SHARE = 0.05  # ... if they are also more than this share of the host's distinct texts
+MIN_DOCS = 5  # a line is frequent from this many documents of its host ...
+MAX_SHARE = 0.05  # ... if they are also more than this share of the host's documents
 MIN_LEFT = 0.3  # a document is depleted when less than this share of its words is left
 
 _TRIM = " \t\n\x0b\x0c\r"
@@ -97,11 +97,12 @@ def document_facts(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def frequent_lines(facts: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(host, h) of the lines above the limits. Both counts are combined before their shuffles."""
-    texts = facts.groupBy("host").agg(F.count_distinct("th").alias("host_texts"))
-    held = facts.select("host", "th", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    counts = held.groupBy("host", "h").agg(F.count_distinct("th").alias("n")).where(F.col("n") >= min_docs)
-    known = salted_lookup(counts, texts, ["host"], spread_by=["h"])
-    return known.where(F.col("n") > max_share * F.col("host_texts")).select("host", "h")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.col("th")).alias("doc")
+    docs = facts.select("host", doc).groupBy("host").agg(F.count_distinct("doc").alias("host_docs"))
+    held = facts.select("host", doc, F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    counts = held.groupBy("host", "h").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= min_docs)
+    known = salted_lookup(counts, docs, ["host"], spread_by=["h"])
+    return known.where(F.col("n") > max_share * F.col("host_docs")).select("host", "h")
 
 
 def line_hits(facts: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -147,7 +148,12 @@ def clean_documents(
     Verdicts and the lines to take out are narrow rows; they meet the texts in one join. Rows that
     agree in id, host and text share one verdict, so a repeated row is kept or dropped as a whole.
     """
-    facts = cut_lineage(document_facts(docs, host))
+    return apart(docs, ["doc_id", "text", "n_chars", host], lambda rows: _cleaned(rows, host, min_docs, max_share, min_left))
+
+
+def _cleaned(docs: DataFrame, host: str, min_docs: int, max_share: float, min_left: float) -> DataFrame:
+    # base counts that the verdict does not use are pruned before the facts are written
+    facts = cut_lineage(document_facts(docs, host).select("row", "doc_id", "host", "th", "n_words", "base_failed", "lines"))
     frequent = cut_lineage(frequent_lines(facts, min_docs, max_share))
     hits = line_hits(facts, frequent).groupBy("row").agg(F.sum("w").alias("out"), F.collect_set("h").alias("hs"))
     verdicts = (
@@ -182,11 +188,12 @@ w AS (SELECT r, doc_id, host, t, list_filter(regexp_split_to_array(t, '[\x20\x09
 win AS (SELECT r, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM win) WHERE k > 1),
 cov AS (SELECT r, count(DISTINCT i + o) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS o) GROUP BY r),
-li AS (SELECT r, host, t, x AS line, regexp_replace(trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]', '0', 'g') AS nl,
+li AS (SELECT r, doc_id, host, t, x AS line, regexp_replace(trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]', '0', 'g') AS nl,
               len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n
-       FROM (SELECT r, host, t, unnest(ls) AS x FROM w)),
-fr AS (SELECT host, nl FROM (SELECT host, nl, count(DISTINCT t) AS n FROM li GROUP BY host, nl)
-       JOIN (SELECT host, count(DISTINCT t) AS all_texts FROM d GROUP BY host) USING (host) WHERE n >= 50 AND n > 0.05 * all_texts),
+       FROM (SELECT r, doc_id, host, t, unnest(ls) AS x FROM w)),
+fr AS (SELECT host, nl FROM (SELECT host, nl, count(DISTINCT coalesce(doc_id::VARCHAR, t)) AS n FROM li GROUP BY host, nl)
+       JOIN (SELECT host, count(DISTINCT coalesce(doc_id::VARCHAR, t)) AS all_docs FROM d GROUP BY host) USING (host)
+       WHERE n >= 5 AND n > 0.05 * all_docs),
 rm AS (SELECT r, sum(n) AS n FROM li JOIN fr USING (host, nl) GROUP BY r),
 b AS (SELECT w.r, w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
              CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shortlist.llm.common import blocks, read
+from shortlist.llm.common import Shipped, apart, blocks, read
 from shortlist.llm.registry import query
 
 UNIT = 32
@@ -244,7 +244,7 @@ def find_leaks(
     spark, found = docs.sparkSession, None
     schema = "doc_id long, item_id long, score double, overlap double"
     for index in shard_indexes(benchmark, question, answer, shard_bytes):
-        sent = spark.sparkContext.broadcast(index)
+        sent = Shipped(spark, index)
 
         def run(batches, sent=sent):
             index = sent.value
@@ -268,9 +268,13 @@ def drop_leaks(
     least: float = MIN_SCORE, overlap: float = MIN_OVERLAP, shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """The documents without those that hold a verified item; no shuffle, all columns as they were."""
+    return apart(docs, ["doc_id", "text"], lambda rows: _without_leaks(rows, benchmark, question, answer, least, overlap, shard_bytes))
+
+
+def _without_leaks(docs: DataFrame, benchmark: DataFrame, question: str, answer: str | None, least: float, overlap: float, shard_bytes: int) -> DataFrame:
     kept = docs
     for index in shard_indexes(benchmark, question, answer, shard_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+        sent = Shipped(docs.sparkSession, index)
 
         def run(batches, sent=sent):
             index = sent.value

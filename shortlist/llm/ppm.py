@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shortlist.llm.common import blocks, read, text_bytes
+from shortlist.llm.common import Shipped, blocks, read, text_bytes
 from shortlist.llm.registry import query
 
 ORDER = 4
@@ -236,7 +236,7 @@ def score_texts(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, block_bytes: in
     low, train_tokens, train_texts = low_orders(docs)
     chunks, buckets = blocks(size, chunk_bytes), blocks(size, min(block_bytes, chunk_bytes))
     partitions = min(buckets, MOST_PARTITIONS)
-    sent = docs.sparkSession.sparkContext.broadcast(low)
+    sent = Shipped(docs.sparkSession, low)
     deal = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(chunks))
     dealt = docs.withColumn("_chunk", deal).repartition(min(chunks, MOST_PARTITIONS), "_chunk")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from shortlist.llm.common import blocks, cut_lineage, ids_and_texts, read, starts_of
+from shortlist.llm.common import apart, blocks, cut_lineage, ids_and_texts, read, starts_of
 from shortlist.llm.components import connected_components
 from shortlist.llm.pairs import cross_pairs
 from shortlist.llm.registry import query
@@ -338,6 +338,10 @@ def drop_near_duplicates(docs: DataFrame, size: int = NEAR_SHINGLE, similarity:
     shingles. Equal texts are one node. Null and empty texts are one group. Of rows that repeat a
     document one stays. All columns as they were.
     """
+    return apart(docs, ["doc_id", "text"], lambda rows: _without_near(rows, size, similarity))
+
+
+def _without_near(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     prints = cut_lineage(_prints(docs, size))
     order = F.struct(F.col("doc_id").isNull(), "doc_id")
     nodes = cut_lineage(

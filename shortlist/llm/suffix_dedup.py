@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shortlist.llm.common import blocks, ranges, read, text_bytes
+from shortlist.llm.common import apart, blocks, ranges, read, text_bytes
 from shortlist.llm.registry import query
 
 WIDTH = 50
@@ -477,6 +477,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, chunk_bytes: int = CHUNK
 
     A character that loses some of its bytes goes whole. n_chars, if there, counts what is left.
     """
+    return apart(docs, ["doc_id", "text", "n_chars"], lambda rows: _without_repeats(rows, width, chunk_bytes, wide_docs))
+
+
+def _without_repeats(docs: DataFrame, width: int, chunk_bytes: int, wide_docs: int) -> DataFrame:
     plan = Removal(docs, width, chunk_bytes, wide_docs)
     me = plan._worker()
     schema = docs.schema

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from shortlist.llm import quality, simhash
+from shortlist.llm import packing, quality, simhash
 
 RNG = random.Random(11)
 VOCABULARY = [f"word{i}" for i in range(3000)]
@@ -108,13 +108,50 @@ def test_pipeline_writes_the_ids(spark, sf_dir):
 
 
 def test_line_rule_equals_its_sql_where_lines_go(spark):
-    """The registered SQL with limits that take lines out on sf0.01, where its own limits take none."""
+    """The registered SQL takes lines out on sf0.01; other limits give its rows too."""
     sf = "/root/testdata/sf0.01"
-    sql = quality._SQL.replace("n >= 50 AND n > 0.05 *", "n >= 4 AND n > 0.01 *")
-    assert sql != quality._SQL
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     with duckdb.connect() as db:
         db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-        wanted = db.execute(sql).fetchall()
-    found = quality.quality_report(spark.read.parquet(f"{sf}/documents.parquet"), min_docs=4, max_share=0.01)
-    assert sorted(map(tuple, found.collect())) == sorted(wanted)
-    assert sum(r[-1] > 0 for r in wanted) > 20
+        for sql, least, share in ((quality._SQL, 5, 0.05), (quality._SQL.replace("n >= 5 AND n > 0.05 *", "n >= 4 AND n > 0.01 *"), 4, 0.01)):
+            wanted = db.execute(sql).fetchall()
+            found = quality.quality_report(docs, min_docs=least, max_share=share)
+            assert sorted(map(tuple, found.collect())) == sorted(wanted)
+            assert sum(r[-1] > 0 for r in wanted) > 20
+
+
+def test_lines_of_a_small_host_go_and_copies_count_as_documents(spark):
+    rows = [(i, "small", f"{prose(80)}\nCookie notice" if i < 5 else prose(80)) for i in range(10)]
+    rows += [(20 + i, "big", f"{prose(80)}\nRare notice" if i < 4 else prose(80)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    report = {r.doc_id: r.n_line_words for r in quality.quality_report(docs).collect()}
+    assert [report[i] for i in range(10)] == [2] * 5 + [0] * 5 and not any(report[20 + i] for i in range(200))
+
+
+@pytest.mark.parametrize("name", [s for s, _ in corpus_pipeline.STAGES[:-1]])
+def test_extra_columns_may_have_any_name(spark, sf_dir, name):
+    names = ["_th", "_id", "_key", "_h", "_t", "_hs", "_host", "_rows", "_chunk", "chunk", "row", "th", "fp", "others", "a.b"]
+    rows = [(i, prose(120), "h", *[f"{n}{i}" for n in names], i) for i in range(12)]
+    fields = [*["doc_id long", "text string", "source string"], *[f"`{n}` string" for n in names], "n_chars long"]
+    docs = spark.createDataFrame(rows, ", ".join(fields))
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, sf_dir)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == rows
+
+
+def test_very_long_documents_are_packed_in_bounded_blocks(spark):
+    """Blocks by bytes of ids, not by documents: no block holds more than its share."""
+    rows = [(i, " ".join(f"w{j % 997}" for j in range(110_000))) for i in range(3)] + [(10 + i, prose(40)) for i in range(50)] + [(5, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = packing.pack(docs, keep_ids=True, block_bytes=1 << 18).collect()
+    assert max(r.doc_tokens for r in pieces) > 200_000
+    sequences = {}
+    for r in pieces:
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in sequences.values():
+        held.sort()
+        assert held[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(held, held[1:])) and sum(n for _, n in held) <= packing.WINDOW
+    assert len({s >> 40 for s in sequences}) > 8
+    total = sum(r.length for r in pieces)
+    assert total == sum({r.doc_id: r.doc_tokens for r in pieces if r.doc_id != 5}.values()) + 2
+    assert len(sequences) * packing.WINDOW < 1.05 * total + 64 * packing.WINDOW

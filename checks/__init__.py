@@ -3,6 +3,7 @@
 from checks import (  # noqa: F401
     corpus_checks,
     flow_checks,
+    job_checks,
     keyword_checks,
     lifecycle_checks,
     progress_checks,

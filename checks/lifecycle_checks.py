@@ -139,18 +139,17 @@ def l5_rejected_overrides(spark, sf):
     return lifecycle.override_tiers(document_rows(spark, sf), label_overrides(spark, sf))[1]
 
 
-@check(
-    "l6_rescore",
-    SCREENED_SQL + """SELECT cv_id, CASE WHEN cv_id % 7 = 0 THEN 'no-match' WHEN unrun THEN 'great' ELSE tier END AS tier,
+rescore_sql = SCREENED_SQL + """SELECT cv_id, CASE WHEN cv_id % 7 = 0 THEN 'no-match' WHEN unrun THEN 'great' ELSE tier END AS tier,
      CASE WHEN cv_id % 7 = 0 THEN 0 WHEN unrun THEN 99 ELSE round(preliminary_score, 6) END AS final_score,
      CASE WHEN cv_id % 7 = 0 THEN 'unreadable' WHEN unrun THEN NULL ELSE elimination_reason END AS elimination_reason,
      CASE WHEN cv_id % 7 = 0 THEN 'failed' ELSE 'high' END AS parsing_confidence,
      CASE WHEN cv_id % 7 <> 0 AND unrun THEN 'gpt-5.1' END AS ai_model_used
-    FROM (SELECT *, job_position_id NOT IN (SELECT job_position_id FROM corpus_reqs) AS unrun FROM screened)""",
-)
-def l6_rescore(spark, sf):
+    FROM (SELECT *, job_position_id NOT IN (SELECT job_position_id FROM corpus_reqs) AS unrun FROM screened)"""
+
+
+def rescore_input(spark, sf):
+    """Stored CVs of the documents, their sentences, and the lists to rescore by."""
     lost = F.col("cv_id") % 7 == 0
-    sentences = inputs.document_sentences(spark, sf)
     stored = inputs.document_cvs(spark, sf).select("cv_id", JOB).withColumns(
         {
             "parsing_confidence": F.when(lost, "failed").otherwise("high"),
@@ -161,13 +160,21 @@ def l6_rescore(spark, sf):
             "ai_cost_usd": F.lit(0.25),
         }
     )
-    again = lifecycle.rescore(stored, sentences, inputs.corpus_requirements(spark))
+    return stored, inputs.document_sentences(spark, sf), inputs.corpus_requirements(spark)
+
+
+def rescore_columns(again):
     return again.select(
         "cv_id", "tier", F.round("final_score", 6).alias("final_score"), "elimination_reason",
         "parsing_confidence", "ai_model_used",
     )
 
 
+@check("l6_rescore", rescore_sql)
+def l6_rescore(spark, sf):
+    return rescore_columns(lifecycle.rescore(*rescore_input(spark, sf)))
+
+
 NOW = datetime(1997, 1, 1, tzinfo=timezone.utc)
 
 

@@ -12,6 +12,7 @@ from shortlist.functions import fixed
 from shortlist.functions.redaction import redact
 from shortlist.operators import corpus, inference, keyword, lifecycle, parsing
 from shortlist.operators.final import apply_ai_results, run_totals
+from shortlist.sources.buckets import bucket_count, write_bucketed
 from shortlist.sources.files import route_format
 
 
@@ -84,6 +85,14 @@ def screen(texts: DataFrame, reqs: DataFrame, client, **call_options) -> Screeni
     return Screening(updated, totals, stored.select("cv_id", "job_position_id", *TEXT_COLUMNS))
 
 
+def store(screening: Screening, buckets: int | None = None, folder: str | None = None) -> Screening:
+    """What `screen` returned as bucketed tables of CV rows and texts. Rescoring, overrides and merges of
+    stored rows then leave the texts where they are, and rescoring reads them bucket by bucket."""
+    count = buckets or bucket_count(screening.texts)
+    cvs, texts = (write_bucketed(part, count, folder=folder) for part in (screening.cvs, screening.texts))
+    return Screening(cvs, screening.totals, texts)
+
+
 def rescore(cvs: DataFrame, texts: DataFrame, reqs: DataFrame, client, **call_options) -> Screening:
     """Keyword and model stages again on what `screen` returned, after a requirement edit. CVs of jobs
     without a usable list in `reqs` come back as they were; totals are those of the jobs rescored."""

@@ -1,13 +1,14 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 A fingerprint has eight positional bytes. Two that differ in at most two bits share at least six of
-them, so six (position, byte) pairs are the guaranteed minimum of shared matches. Single-byte lists
-would hold 1/256 of all fingerprints each; a posting here is therefore one of the 28 choices of six
-positional bytes, which every qualifying pair shares and which holds at most 2^16 distinct
-fingerprints whatever the input. Inside a posting list the shared bytes of each pair are tallied,
-pairs below the minimum dropped and the rest verified by their differing bits; long lists do the same
-over the 2^16 values of the two free bytes. A list returns a spanning star of each linked set, never
-its pairs.
+them, so six (position, byte) pairs are the guaranteed minimum of shared matches. Lists of single bytes
+would hold 1/256 of all fingerprints each, so a posting is filed under three positional bytes at once. Four
+choices of three positions are enough: no two positions touch all four, hence a qualifying pair, which
+misses two positions at most, agrees on one of them. Inside a list the shared positional bytes of
+each pair are tallied, pairs below the minimum dropped and the rest verified by their differing bits. A
+list of more than LONG_LIST fingerprints is split by three further positions, in each of the ten ways; such
+a list holds at most 2^16 fingerprints whatever the input, and goes over the 2^16 values of its two free
+bytes. A list returns a spanning star of each linked set, never its pairs.
 
 Equal fingerprints are one node, so a group of copies costs one row whatever its size. Defined
 results: null or blank text has fingerprint zero and links like any other; a null doc_id keeps its
@@ -23,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from shortlist.cluster import salted_lookup
 from shortlist.llm.common import apart, blocks, cut_lineage, ids_and_texts, read, starts_of
 from shortlist.llm.components import connected_components
 from shortlist.llm.pairs import cross_pairs
@@ -31,7 +33,10 @@ from shortlist.llm.registry import query
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
-POSITIONS = list(combinations(range(8), 6))
+POSITIONS = list(combinations(range(8), 6))  # of split lists
+TRIPLES = [(0, 1, 2), (0, 1, 3), (2, 3, 4), (5, 6, 7)]
+CHOICES = POSITIONS + TRIPLES
+LONG_LIST = 256
 _STEP = 1 << 16
 
 
@@ -74,7 +79,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 def _masks() -> list[int]:
     masks = []
-    for chosen in POSITIONS:
+    for chosen in CHOICES:
         mask = sum(0xFF << (8 * p) for p in chosen)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     return masks
@@ -128,7 +133,7 @@ def links_in_lists(choice: np.ndarray, prints: np.ndarray, max_bits: int) -> tup
     found = []
     for at, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
         values = prints[at : at + size]
-        if size <= 256:
+        if size <= LONG_LIST or choice[at] >= len(POSITIONS):
             roots = _small_list(values, max_bits)
         else:
             free = tuple(p for p in range(8) if p not in POSITIONS[choice[at]])
@@ -141,15 +146,30 @@ def links_in_lists(choice: np.ndarray, prints: np.ndarray, max_bits: int) -> tup
     return both[0], both[1]
 
 
-def fingerprint_links(distinct: DataFrame, count: int, max_bits: int = MAX_BITS, per_block: int = 1_000_000) -> DataFrame:
+def fingerprint_links(
+    distinct: DataFrame, count: int, max_bits: int = MAX_BITS, per_block: int = 1_000_000, long_list: int = LONG_LIST
+) -> DataFrame:
     """(a, b): spanning links between distinct fingerprints (column fp) at `max_bits` (2 or fewer) bits."""
     if max_bits > 2:
         raise ValueError("six shared bytes are guaranteed up to two differing bits")
     masks = F.array(*[F.lit(m) for m in _masks()])
-    postings = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(POSITIONS) - 1))).alias("choice"))
-    placed = postings.repartition(
-        blocks(count * len(POSITIONS), per_block), F.xxhash64("choice", F.col("fp").bitwiseAND(F.get(masks, F.col("choice"))))
-    )
+    first = len(POSITIONS)
+    finer = [[k for k, six in enumerate(POSITIONS) if set(three) <= set(six)] for three in TRIPLES]
+
+    def key(choice: str):
+        return F.col("fp").bitwiseAND(F.get(masks, F.col(choice)))
+
+    short = distinct.select("fp", F.explode(F.sequence(F.lit(first), F.lit(len(CHOICES) - 1))).alias("choice"))
+    short = short.withColumn("key", key("choice"))
+    sizes = short.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("size"))
+    long = cut_lineage(sizes.where(F.col("size") > long_list))
+    split = long.agg(F.sum("size")).first()[0] or 0
+    marked = salted_lookup(short, long, ["choice", "key"], ["fp"], "left")
+    split_to = F.get(F.array(*[F.array(*map(F.lit, f)) for f in finer]), F.col("choice") - first)
+    filed = F.when(F.col("size").isNotNull(), split_to).otherwise(F.array("choice"))
+    postings = marked.select("fp", F.explode(filed).alias("choice"))
+    amount = count * len(TRIPLES) + split * len(finer[0])
+    placed = postings.repartition(blocks(amount, per_block), F.xxhash64("choice", key("choice")))
 
     def run(batches):
         choice, prints = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]

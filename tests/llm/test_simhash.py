@@ -77,6 +77,56 @@ def test_lists_short_and_long(size):
     assert root == whole
 
 
+def test_any_two_positions_leave_one_choice_of_three():
+    for x in range(8):
+        for y in range(8):
+            assert any(x not in three and y not in three for three in simhash.TRIPLES)
+
+
+@pytest.mark.parametrize("long_list", [1, 8, 256])
+def test_links_equal_brute_force_whether_lists_are_split_or_not(spark, long_list):
+    """A family around one base, pairs at one to three bits in any two bytes, and pairs that share five bytes."""
+    rng = random.Random(long_list)
+    values = set()
+    for _ in range(120):
+        base = rng.getrandbits(64)
+        values.add(base)
+        for bits in (1, 2, 3):
+            values.add(base ^ sum(1 << b for b in rng.sample(range(64), bits)))
+        values.add(base ^ sum(1 << (8 * p) for p in rng.sample(range(8), 3)))
+    base = rng.getrandbits(64)
+    values |= {base ^ sum(1 << b for b in rng.sample(range(16), rng.randrange(1, 9))) for _ in range(80)}
+    values |= {0, (1 << 64) - 1, 1 << 63}
+    values = sorted(values)
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
+    links = simhash.fingerprint_links(spark.createDataFrame(signed, "fp long"), len(values), long_list=long_list)
+    got = [(r.a % (1 << 64), r.b % (1 << 64)) for r in links.collect()]
+    assert all(a in values and b in values for a, b in got)
+
+    def classes(pairs):
+        root = {v: v for v in values}
+
+        def find(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return [find(v) for v in values]
+
+    near = [(a, b) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= 2]
+    assert classes(got) == classes(near)
+
+
+def test_tally_drops_pairs_below_the_minimum():
+    """Three shared bytes file two fingerprints together; the tally of shared bytes must part them."""
+    values = np.array([0, 1 << 24, 0x0101010101 << 24, 3 << 40, 7 << 40], np.uint64)
+    roots = simhash._small_list(values, 2)
+    assert roots.tolist() == [0, 0, 0x0101010101 << 24, 0, 0]
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

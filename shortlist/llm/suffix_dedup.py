@@ -3,13 +3,13 @@
 A byte goes if a string of `WIDTH` bytes that covers it also starts in a document with a smaller
 doc_id. The work runs in content blocks, so that no index of the whole corpus is needed:
 
-1. Documents are dealt into chunks by hash. In every window of `WIDTH` bytes the 16-byte seed with the
+1. Documents are dealt into chunks by hash. In every window of `WIDTH` bytes the 24-byte seed with the
    least hash is chosen, which depends on the window's bytes alone. Chunks send each distinct seed (32
    bits within its bucket) once, and learn which seeds occur in more than one document.
 2. Runs of windows around a shared seed, deduplicated per chunk with their smallest document, go to the
    seed's block. Windows of a seed in very many documents go on their own instead, by their own hash,
    so that a passage in a third of all documents spreads.
-3. A block forms the Burrows-Wheeler transform of its strings and expands intervals breadth-first by
+3. A block forms the Burrows-Wheeler transform of the strings whose seed has several and expands intervals breadth-first by
    backward extension: level n yields every common prefix of length n between neighbours, and the
    expansion ends at `WIDTH`. Suffixes with no shorter common prefix between them share a window;
    the smallest document of each such class goes back to the chunks that asked.
@@ -35,11 +35,11 @@ from shortlist.llm.common import apart, blocks, ranges, read, text_bytes
 from shortlist.llm.registry import query
 
 WIDTH = 50
-SEED_BYTES = 16
+SEED_BYTES = 24  # a multiple of 8; longer seeds meet by chance less often
 CHUNK_BYTES = 8 << 20
 SEED_BLOCK = 8 << 20  # text bytes per bucket of seeds
 STRING_BLOCK = 4 << 20  # text bytes per bucket of strings
-INDEX_BYTES = 3 << 20  # of strings in one Burrows-Wheeler transform
+INDEX_BYTES = 2 << 20  # of strings in one Burrows-Wheeler transform
 WIDE_DOCS = 1 << 15  # documents of one seed beyond which its windows travel alone
 MOST_PARTITIONS = 20_000  # shuffle partitions; buckets beyond them share tasks
 
@@ -59,8 +59,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _seed_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return _mix(first * _M[0] + (second ^ (first >> np.uint64(31))) * _M[1])
+def _seed_hash(words: np.ndarray, at) -> np.ndarray:
+    """Hash of the seeds that begin at the given places: positions, or the first so many."""
+
+    def word(k: int) -> np.ndarray:
+        return words[k : k + at] if isinstance(at, int) else words[at + k]
+
+    first = word(0)
+    hashed = _mix(first * _M[0] + (word(8) ^ (first >> np.uint64(31))) * _M[1])
+    for k in range(16, SEED_BYTES, 8):
+        hashed = _mix((hashed ^ word(k)) * _M[2])
+    return hashed
 
 
 class Chunk:
@@ -90,7 +99,7 @@ class Chunk:
             b = min(a + _STEP, self.size)
             part = _words_at(data[a : b + width + 7])
             n = b - a + span - 1
-            hashed = _seed_hash(part[:n], part[8 : 8 + n])
+            hashed = _seed_hash(part, n)
             least = (hashed & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
             wide = 1
             while 2 * wide <= span:
@@ -112,8 +121,7 @@ class Chunk:
         self.first = np.concatenate(first) if first else np.zeros(0, np.int64)
         self.count = np.concatenate(count) if count else np.zeros(0, np.int64)
         at = np.concatenate(seed) if seed else np.zeros(0, np.int64)
-        words = _words_at(data)
-        self.seed = _mix(_seed_hash(words[at], words[at + 8]) ^ _M[4])
+        self.seed = _mix(_seed_hash(_words_at(data), at) ^ _M[4])
         self.doc = np.searchsorted(self.ends, self.first, "right")
 
     def seeds(self, buckets: int):
@@ -191,10 +199,14 @@ def bwt_classes(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         rank[order] = np.cumsum(step).astype(np.uint64) + np.uint64(1)
         if depth >= width:
             break
-        later = np.zeros(n, np.uint64)
-        later[: max(0, n - depth)] = rank[depth:]
-        key = rank * np.uint64(n + 2) + later
-        depth *= 2
+        # as many ranks as a 64-bit key holds: three for up to 2.6 million bytes, which saves a sort
+        ranks = 3 if (n + 2) ** 3 < 1 << 64 else 2
+        key = rank
+        for k in range(1, ranks):
+            later = np.zeros(n, np.uint64)
+            later[: max(0, n - k * depth)] = rank[k * depth :]
+            key = key * np.uint64(n + 2) + later
+        depth *= ranks
     order = order.astype(np.int32)
     before = text[order - 1]  # the transform; position 0 wraps to the last end mark
     heads = text[order]
@@ -240,6 +252,20 @@ def least_documents(strings: list[bytes], documents: np.ndarray, width: int) ->
     return np.split(result[window_at], np.cumsum(counts)[:-1])
 
 
+def _answer_strings(strings: list[bytes], seeds: np.ndarray, documents: np.ndarray, width: int) -> list[np.ndarray]:
+    """`least_documents`, with only those strings in the transform whose seed has another string too. Equal
+    windows have equal seeds, so the windows of a seed's only string, as exact copies leave it, occur
+    nowhere else in the block."""
+    _, group, held = np.unique(seeds, return_inverse=True, return_counts=True)
+    several = held[group] > 1
+    at = np.flatnonzero(several)
+    compared = iter(least_documents([strings[i] for i in at.tolist()], documents[at], width) if len(at) else [])
+    return [
+        next(compared) if shared else np.full(len(s) - width + 1, d)
+        for s, d, shared in zip(strings, documents, several.tolist())
+    ]
+
+
 def _answer_block(entries: list[tuple]) -> list[tuple]:
     """Answers of one block: entries are (chunk, sizes, bytes, least, tags), answers (chunk, runs, lengths, documents)."""
     where, sizes, documents, tags, pieces = [], [], [], [], []
@@ -265,7 +291,9 @@ def _answer_block(entries: list[tuple]) -> list[tuple]:
             continue
         least = np.full(len(number), _LAST)
         np.minimum.at(least, local, documents[mine])
-        answers = least_documents(list(number), least, width)
+        seed = np.empty(len(number), np.int64)
+        seed[local] = tags[mine]
+        answers = _answer_strings(list(number), seed, least, width)
         for i, j in zip(mine, local):
             found[i] = answers[j]
     out = []
@@ -304,7 +332,7 @@ class Removal:
 
     def __init__(self, docs: DataFrame, width: int, chunk_bytes: int, wide_docs: int):
         if width < SEED_BYTES + 8:
-            raise ValueError("the width must be 24 bytes or more")
+            raise ValueError(f"the width must be {SEED_BYTES + 8} bytes or more")
         size = text_bytes(docs)[1]
         self.width, self.wide_docs = width, wide_docs
         self.seed_buckets = blocks(size, min(SEED_BLOCK, chunk_bytes))

@@ -193,9 +193,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BI
     least = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
     ids = linked.join(least, "component").select("fp", "component_id")
     shared = nodes.join(ids, "fp", "left").where(F.col("component_id").isNotNull() | (F.col("rows") > 1))
-    # only fingerprints with company need a look-up; a hot one is split by the skewed-join rule
-    groups = shared.select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(groups, "fp", "left").select(
+    # only fingerprints with company need a look-up, and one that many documents have is salted
+    groups = cut_lineage(shared.select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
+    return salted_lookup(prints, groups, ["fp"], ["doc_id"], "left").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
